@@ -28,6 +28,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a store leaves the executor's disk when its task has committed to the shared checkpoint
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
