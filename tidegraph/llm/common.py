@@ -67,3 +67,11 @@ def ascii_lower(text: Column) -> Column:
 def file_locator() -> Column:
     """Where a row stands in its input: file and row. Only for frames read straight from files."""
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+_SPACED = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def byte_words(text: str) -> list[bytes]:
+    """Words of a text: runs of ASCII letters and digits and all other non-ASCII characters, A-Z lower-cased, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_SPACED).split()

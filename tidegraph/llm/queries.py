@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import exact_dedup, packing, simhash
+from tidegraph.llm import decontamination, exact_dedup, html_text, licenses, packing, pii, simhash, token_count, toxicity
 from tidegraph.llm.common import LOWER, UPPER, documents
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, score, first_word, end_word: every benchmark item that a document holds, whole or edited."""
+    return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     groups = exact_dedup.exact_groups(documents(spark, sf_dir))
@@ -24,14 +29,43 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of personal data of every document."""
+    return pii.digest(pii.scan(documents(spark, sf_dir)))
+
+
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, n_chars of every document."""
+    import public_tokenizers
+
+    return token_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, text of every page."""
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base places, labels and score of every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_best_fit_packing, op7_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_best_fit_packing, op4_pii, op5_token_count, op6_html_text, op7_simhash, op8_toxicity, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
