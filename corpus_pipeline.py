@@ -1,18 +1,53 @@
-"""A training-data pipeline over the documents table."""
+"""A training-data pipeline over the documents table.
+
+Toxic documents go, then exact copies, near copies and documents that hold benchmark items; what is left is packed
+into sequences. Each stage works on all that the one before kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import exact_dedup
+from tidegraph.llm import decontamination, exact_dedup, packing, simhash, toxicity
 from tidegraph.llm.common import documents, stored, work_dir
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs whose toxicity score is below the threshold; the model learns from the labelled ones among docs."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs, of equal texts the one with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact dedup", without_copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs, of each group of near fingerprints the one with the smallest doc_id."""
+    return simhash.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs that hold no benchmark item, whole or edited."""
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of docs, with its sequence."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact dedup", without_copies),
+    ("simhash near-dedup", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("best-fit packing", packed),
+]
+
+#: SQL has neither the model nor the tokenizer; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 

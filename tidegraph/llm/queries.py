@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontamination, exact_dedup, html_text, licenses, packing, pii, simhash, token_count, toxicity
+from tidegraph.llm import decontamination, exact_dedup, html_text, licenses, packing, pii, simhash, suffix_dedup, token_count, toxicity
 from tidegraph.llm.common import LOWER, UPPER, documents
 
 
@@ -59,13 +59,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes, removed spans and digest of the rest of every document."""
+    return suffix_dedup.cut(documents(spark, sf_dir))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, base places, labels and score of every document."""
     return licenses.scan(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_best_fit_packing, op4_pii, op5_token_count, op6_html_text, op7_simhash, op8_toxicity, op10_licenses)}
+    return {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_best_fit_packing, op4_pii, op5_token_count, op6_html_text, op7_simhash, op8_toxicity, op9_suffix_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
