@@ -75,8 +75,8 @@ def daily_node_features(daily: DataFrame) -> DataFrame:
             F.count(side("btc")).alias(f"{name}_degree"),
             (F.coalesce(F.sum(side("sat")), F.lit(0)) / 1e8).alias(f"total_btc_{name}"),
             F.round(zero(F.sum(side("usd"))), 2).alias(f"total_usd_{name}"),
-            F.round(zero(F.avg(side("btc"))), 6).alias(f"mean_btc_{name}"),
-            F.round(zero(F.median(side("btc"))), 6).alias(f"median_btc_{name}"),
+            F.round(zero(F.avg(side("btc"))), 10).alias(f"mean_btc_{name}"),
+            F.round(zero(F.median(side("btc"))), 10).alias(f"median_btc_{name}"),
             zero(F.max(side("btc"))).alias(f"max_btc_{name}"),
             zero(F.min(side("btc"))).alias(f"min_btc_{name}"),
             F.round(sample_std(side("btc")), 6).alias(f"std_btc_{name}"),
@@ -85,7 +85,7 @@ def daily_node_features(daily: DataFrame) -> DataFrame:
     f = e.groupBy("date", "node_idx").agg(*out)
     return f.withColumns({
         "total_degree": F.col("in_degree") + F.col("out_degree"),
-        "balance_btc": F.round(F.col("total_btc_in") - F.col("total_btc_out"), 6),
+        "balance_btc": F.round(F.col("total_btc_in") - F.col("total_btc_out"), 8),
         "balance_usd": F.round(F.col("total_usd_in") - F.col("total_usd_out"), 2),
     })
 
