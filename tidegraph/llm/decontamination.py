@@ -194,6 +194,6 @@ def _matcher(sent, threshold: float, schema):
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs that hold no test item."""
+    """docs that hold no test item. A row without an id can't be told from others without one, and stays."""
     bad = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct(), work_dir(docs.sparkSession, "contaminated"))
     return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")

@@ -141,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bi
     return Model(np.frombuffer(learned[0].features, "<i4").astype(np.int64), np.frombuffer(learned[0].weights, np.float64), learned[0].bias, bits)
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, and score."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns of `keep`, and the score, called `name`."""
     text_batches(docs.sparkSession)
     given = docs.select(*keep, text_of(docs).alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias, model.bits))
@@ -154,13 +154,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             scores = []
             for t in b.column("__text").to_pylist():
                 scores.append(1 / (1 + np.exp(-np.clip(logit(features(t, bits), dense, bias), -35, 35))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, name])
 
-    return given.mapInArrow(work, given.select(*keep).schema.add("score", "double"))
+    return given.mapInArrow(work, given.select(*keep).schema.add(name, "double"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those scored at the threshold or above."""
     columns = docs.columns
-    scored = score(docs, train(docs, labels), tuple(columns))
-    return scored.where(F.col("score") < threshold).select(*columns)
+    scored = score(docs, train(docs, labels), tuple(columns), "__score")
+    return scored.where(F.col("__score") < threshold).select(*columns)
