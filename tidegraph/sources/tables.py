@@ -93,18 +93,22 @@ def edge_table(df: DataFrame, src: str, dst: str, timestamp: str, btc: str | Non
 
 
 def jodie(spark: SparkSession, path: str, feature_mode: str = "first2", skip_header: bool = True) -> DataFrame:
-    """Interaction CSV (user, item, time, label, features...): a bipartite stream. Amounts from the features or the label."""
-    df = spark.read.csv(path, header=False)
+    """Interaction CSV (user, item, time, label, features...): a bipartite stream. Amounts from the features or the label.
+
+    Lines are split here, since the header names all features as one column.
+    """
+    df = spark.read.text(path).select(F.split("value", ",").alias("c")).where(F.size("c") >= 4)
     if skip_header:
-        df = df.where(F.col("_c0").rlike(r"^\s*-?\d+(\.\d+)?\s*$"))
-    n, at = len(df.columns) - 4, lambda k: F.col(f"_c{k}").cast("double")
+        df = df.where(F.col("c")[0].rlike(r"^\s*-?\d+(\.\d+)?\s*$"))
+    at = lambda k: F.coalesce(F.get("c", k).cast("double"), F.lit(0.0))
     if feature_mode == "first2":
-        btc, usd = (at(4) if n > 0 else F.lit(0.0)), (at(5) if n > 1 else F.lit(0.0))
+        btc, usd = at(4), at(5)
     elif feature_mode == "label+zeros":
         btc, usd = at(3), F.lit(0.0)
     else:
         raise ValueError(f"unknown feature mode {feature_mode!r}")
-    flat = df.select(F.col("_c0").cast("double").cast("long").alias("s"), F.col("_c1").cast("double").cast("long").alias("d"), F.col("_c2").cast("double").cast("long").alias("t"), btc.alias("b"), usd.alias("u"))
+    whole = lambda k: at(k).cast("long")
+    flat = df.select(whole(0).alias("s"), whole(1).alias("d"), whole(2).alias("t"), btc.alias("b"), usd.alias("u"))
     return edge_table(flat, "s", "d", "t", "b", "u", shift_destinations=True)
 
 
