@@ -19,7 +19,7 @@ class Spec:
     name: str = "run"
     model: str = "heuristics"
     negatives: int = 20
-    max_queries: int = 5_000
+    max_queries: int = 50_000
     fraction: float = 1.0
     extra: dict = field(default_factory=dict)
 

@@ -102,11 +102,11 @@ def pagerank(rounds: int) -> str:
     return f"WITH {sql} SELECT node, round(rank / (SELECT sum(rank) FROM r{rounds}), 8) AS rank FROM r{rounds}"
 
 
-def components(rounds: int, where: str) -> str:
-    sql = PAY + f", b AS MATERIALIZED (SELECT src AS u, dst AS v FROM pay WHERE {where} UNION SELECT dst, src FROM pay WHERE {where}), c0 AS MATERIALIZED (SELECT DISTINCT u AS node, u AS c FROM b)"
-    for k in range(rounds):
-        sql += f", c{k + 1} AS MATERIALIZED (SELECT c.node, least(c.c, min(o.c)) AS c FROM c{k} c JOIN b ON b.u = c.node JOIN c{k} o ON o.node = b.v GROUP BY c.node, c.c)"
-    return f"WITH {sql} SELECT node, c AS component FROM c{rounds}"
+def components() -> str:
+    """The smallest node that walks reach, smallest first: a node leaves the search when a smaller one has reached it."""
+    return f"""WITH RECURSIVE {PAY}, b AS MATERIALIZED (SELECT src AS u, dst AS v FROM pay UNION SELECT dst, src FROM pay),
+  r(node, c) USING KEY (node) AS (SELECT u, min(least(u, v)) FROM b GROUP BY u
+    UNION SELECT b.v, min(r.c) FROM r JOIN b ON b.u = r.node JOIN recurring.r AS o ON o.node = b.v WHERE r.c < o.c GROUP BY b.v) SELECT node, c AS component FROM r"""
 
 
 def _graph_features() -> str:
@@ -208,7 +208,7 @@ def oracle_sql() -> dict[str, str]:
   t AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM l x JOIN l y ON y.u = x.v JOIN l z ON z.u = x.u AND z.v = y.v), c AS (SELECT node, count(*) AS t FROM (SELECT a AS node FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY node),
   d AS (SELECT u AS node, count(*) AS d FROM a GROUP BY u) SELECT node, d AS degree, coalesce(t, 0) AS triangles, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN c USING (node)""",
         "pagerank": pagerank(5),
-        "weak_components": components(12, between("1996-01-01", "1996-01-14")),
+        "weak_components": components(),
         "pair_scores": f"WITH {ASKED}, {pair_ctes('asked', 'train')} SELECT a, b, cn, aa, jaccard, pa FROM sc",
         "pair_features_7": f"WITH {ASKED}, {pair_ctes('asked', 'train')}, {DIRECTED} SELECT sc.a, sc.b, sc.cn, round(ln(1 + sc.cn), 6) AS log_cn, sc.aa, coalesce(x.cn, 0) AS cn_dir, round(coalesce(x.aa, 0), 6) AS aa_dir, jaccard, round(ln(1 + pa), 6) AS log_pa FROM sc LEFT JOIN dcom x USING (a, b)",
         "pair_features_34": f"WITH {ASKED}, {pair_ctes('asked', 'train')}, {DIRECTED}, {node_features('train')} SELECT sc.a, sc.b, {both}, sc.cn AS cn_undir, sc.aa AS aa_undir, coalesce(x.cn, 0) AS cn_dir, round(coalesce(x.aa, 0), 6) AS aa_dir FROM sc LEFT JOIN dcom x USING (a, b) LEFT JOIN nf s ON s.node_idx = sc.a LEFT JOIN nf d ON d.node_idx = sc.b",

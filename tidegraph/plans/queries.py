@@ -197,7 +197,7 @@ def pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(selection.date_range(payments(spark, sf_dir), "1996-01-01", "1996-01-14"))
+    return graph.components(payments(spark, sf_dir))
 
 
 def core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,7 @@ def neighbor_cooc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relational_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.relational_vectors(stored(selection.date_range(payment_stream(spark, sf_dir), "1996-01-01", "1996-03-31")), PARTNERS)
+    return temporal.relational_vectors(stored(payment_stream(spark, sf_dir)), PARTNERS)
 
 
 def eval_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,8 +295,7 @@ def heuristic_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tppr_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = selection.date_range(payment_stream(spark, sf_dir), "1996-01-01", "1996-03-31")
-    return graph.tppr(stored(edges)).select("node", F.round("norm", 6).alias("norm"), F.size("weights").cast("long").alias("n"))
+    return graph.tppr(stored(payment_stream(spark, sf_dir))).select("node", F.round("norm", 6).alias("norm"), F.size("weights").cast("long").alias("n"))
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
