@@ -67,10 +67,11 @@ def negative_ctes(n: int, n_hist: int, seed: str, exclude: bool, spare: int = 3)
   rd AS (SELECT src, dst, cand, need, k FROM dr WHERE cand <> src AND cand <> dst AND NOT EXISTS (SELECT 1 FROM hs WHERE hs.src = dr.src AND hs.dst = dr.dst AND hs.cand = dr.cand) {drop('dr')}
     QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY k) <= need),
   sh AS (SELECT l.src, l.dst, l.need - count(cand) AS short FROM lack l LEFT JOIN rd ON rd.src = l.src AND rd.dst = l.dst GROUP BY l.src, l.dst, l.need HAVING l.need - count(cand) > 0),
-  rs AS (SELECT sh.src, sh.dst, node AS cand, short FROM sh, nodes WHERE node <> sh.src AND node <> sh.dst),
+  st AS (SELECT src, dst, short, j, (('0x' || substr(md5(concat_ws('|', '{seed}w', src, dst)), 1, 15))::BIGINT + j) % m AS pos FROM sh, m, range(0, {32 * n}) t(j) WHERE j < m),
+  rs AS (SELECT src, dst, node AS cand, short, j FROM st JOIN ord USING (pos) WHERE node <> src AND node <> dst),
   rw AS (SELECT src, dst, cand FROM rs WHERE NOT EXISTS (SELECT 1 FROM hs WHERE hs.src = rs.src AND hs.dst = rs.dst AND hs.cand = rs.cand)
     AND NOT EXISTS (SELECT 1 FROM rd WHERE rd.src = rs.src AND rd.dst = rs.dst AND rd.cand = rs.cand) {drop('rs')}
-    QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY md5(concat_ws('|', '{seed}w', src, dst, cand)), cand) <= short),
+    QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY j) <= short),
   ng AS (SELECT src, dst, cand, 'hist' AS kind FROM hs UNION ALL SELECT src, dst, cand, 'random' FROM rd UNION ALL SELECT src, dst, cand, 'random' FROM rw)"""
 
 
