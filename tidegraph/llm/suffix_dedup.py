@@ -337,28 +337,29 @@ def repeats(docs: DataFrame, base: str, size: int = SIZE, gram: int = GRAM, cell
     spark = docs.sparkSession
     text_batches(spark)
     found = stored(docs.select("key", "__text").mapInArrow(_anchors(size, gram), "key long, first int, count int, h long, w long"), f"{base}/anchors")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # small sides are written before they are joined: only a join of plain exchanges can be split where a key is hot
+    again = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), f"{base}/again")
     kept = stored(found.join(again, "h"), f"{base}/kept")
-    release(spark, f"{base}/anchors")
+    release(spark, f"{base}/anchors", f"{base}/again")
     first = F.min(F.struct("key", "first")).alias("lead")
     groups = stored(kept.groupBy("h", "w").agg(first, F.max("count").alias("count"), F.count(F.lit(1)).alias("n")), f"{base}/groups")
     later = kept.join(groups.where("n > 1").select("h", "w", "lead"), ["h", "w"]).where(F.struct("key", "first") != F.col("lead")).select("key", "first", "count")
     later = stored(later, f"{base}/later")
     release(spark, f"{base}/kept")
 
-    differ = groups.groupBy("h").agg(F.count(F.lit(1)).alias("regions")).where("regions > 1")
+    differ = stored(groups.groupBy("h").agg(F.count(F.lit(1)).alias("regions")).where("regions > 1"), f"{base}/differ")
     wanted = groups.join(differ, "h").select(F.col("lead.key").alias("key"), F.struct("h", F.col("lead.first").alias("first"), "count", (F.col("regions") > cell).alias("hot")).alias("x"))
     by_doc = wanted.groupBy("key").agg(F.collect_list("x").alias("wanted"))
     parts = stored(docs.select("key", "__text").join(by_doc, "key").mapInArrow(_parts(size), PARTS), f"{base}/parts")
-    release(spark, f"{base}/groups")
+    release(spark, f"{base}/groups", f"{base}/differ")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     cells = parts.where("bytes IS NOT NULL").select("h", "key", "first", "bytes").repartition(n, "h").sortWithinPartitions("h", "key", "first")
     sorted_out = cells.mapInArrow(_cells(size), "key long, first int, count int")
     single = parts.where("bytes IS NULL").select("h", "w", "key", "first")
-    leads = single.groupBy("h", "w").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "w", "lead")
+    leads = stored(single.groupBy("h", "w").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "w", "lead"), f"{base}/leads")
     alone = single.join(leads, ["h", "w"]).where(F.struct("key", "first") != F.col("lead")).select("key", "first", F.lit(1).alias("count"))
     out = stored(later.unionByName(sorted_out).unionByName(alone), f"{base}/repeats")
-    release(spark, f"{base}/parts", f"{base}/later")
+    release(spark, f"{base}/parts", f"{base}/later", f"{base}/leads")
     return out
 
 
