@@ -54,20 +54,21 @@ DIRECTED = """
 ASKED = SPLIT + """, train AS (SELECT * FROM split WHERE split = 'train'), asked AS (SELECT DISTINCT src AS a, dst AS b FROM split WHERE split = 'test')"""
 
 
-def negative_ctes(n: int, n_hist: int, seed: str, exclude: bool, spare: int = 3) -> str:
-    """From q (src, dst), hist (src, dst), pos (src, dst), nodes (node): hs and rn."""
+def negative_ctes(n: int, n_hist: int, seed: str, exclude: bool, spare: int = 3, stride: str | None = None) -> str:
+    """From q (src, dst), hist (src, dst), pos (src, dst), nodes (node): hs and rn. stride: SQL of the width of a group of ids."""
+    group = lambda c: f"{c} - {c} % {stride}" if stride else "0"
     drop = lambda t: f"AND NOT EXISTS (SELECT 1 FROM pos WHERE pos.src = {t}.src AND pos.dst = {t}.cand)" if exclude else ""
     return f"""
   hp AS (SELECT q.src, q.dst, h.dst AS cand FROM q JOIN (SELECT DISTINCT src, dst FROM hist) h ON h.src = q.src WHERE h.dst <> q.src AND h.dst <> q.dst),
   hs AS (SELECT src, dst, cand FROM hp WHERE true {drop('hp')} QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY md5(concat_ws('|', '{seed}h', src, dst, cand)), cand) <= {n_hist}),
   lack AS (SELECT q.src, q.dst, {n} - count(cand) AS need FROM q LEFT JOIN hs ON hs.src = q.src AND hs.dst = q.dst GROUP BY q.src, q.dst),
-  ord AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM nodes), m AS (SELECT count(*) AS m FROM nodes),
-  tr AS (SELECT src, dst, need, k, ('0x' || substr(md5(concat_ws('|', '{seed}r', src, dst, k)), 1, 15))::BIGINT % m AS pos FROM lack, m, range(0, {n * spare}) t(k)),
+  ord AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM nodes), m AS (SELECT {group('node')} AS g, min(pos) AS f, count(*) AS m FROM ord GROUP BY ALL),
+  tr AS (SELECT src, dst, need, k, ('0x' || substr(md5(concat_ws('|', '{seed}r', src, dst, k)), 1, 15))::BIGINT % m + f AS pos FROM lack JOIN m ON g = {group('src')}, range(0, {n * spare}) t(k)),
   dr AS (SELECT src, dst, need, node AS cand, min(k) AS k FROM tr JOIN ord USING (pos) GROUP BY ALL),
   rd AS (SELECT src, dst, cand, need, k FROM dr WHERE cand <> src AND cand <> dst AND NOT EXISTS (SELECT 1 FROM hs WHERE hs.src = dr.src AND hs.dst = dr.dst AND hs.cand = dr.cand) {drop('dr')}
     QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY k) <= need),
   sh AS (SELECT l.src, l.dst, l.need - count(cand) AS short FROM lack l LEFT JOIN rd ON rd.src = l.src AND rd.dst = l.dst GROUP BY l.src, l.dst, l.need HAVING l.need - count(cand) > 0),
-  st AS (SELECT src, dst, short, j, (('0x' || substr(md5(concat_ws('|', '{seed}w', src, dst)), 1, 15))::BIGINT + j) % m AS pos FROM sh, m, range(0, {32 * n}) t(j) WHERE j < m),
+  st AS (SELECT src, dst, short, j, (('0x' || substr(md5(concat_ws('|', '{seed}w', src, dst)), 1, 15))::BIGINT + j) % m + f AS pos FROM sh JOIN m ON g = {group('src')}, range(0, {32 * n}) t(j) WHERE j < m),
   rs AS (SELECT src, dst, node AS cand, short, j FROM st JOIN ord USING (pos) WHERE node <> src AND node <> dst),
   rw AS (SELECT src, dst, cand FROM rs WHERE NOT EXISTS (SELECT 1 FROM hs WHERE hs.src = rs.src AND hs.dst = rs.dst AND hs.cand = rs.cand)
     AND NOT EXISTS (SELECT 1 FROM rd WHERE rd.src = rs.src AND rd.dst = rs.dst AND rd.cand = rs.cand) {drop('rs')}
@@ -103,6 +104,56 @@ def pagerank(rounds: int) -> str:
     return f"WITH {sql} SELECT node, round(rank / (SELECT sum(rank) FROM r{rounds}), 8) AS rank FROM r{rounds}"
 
 
+def cores(adjacency: str, rounds: int) -> str:
+    """CTEs from adjacency (u, v), ending in core (u, c): rounds of h-indexes, more than the tables need to settle."""
+    sql = f"h0 AS MATERIALIZED (SELECT u, count(*) AS c FROM {adjacency} GROUP BY u)"
+    for k in range(rounds):
+        sql += f""", h{k + 1} AS MATERIALIZED (SELECT u, least(any_value(old), max(least(c, r))) AS c FROM
+    (SELECT a.u, o.c AS old, n.c, row_number() OVER (PARTITION BY a.u ORDER BY n.c DESC) AS r FROM {adjacency} a JOIN h{k} n ON n.u = a.v JOIN h{k} o ON o.u = a.u) GROUP BY u)"""
+    return f"{sql}, core AS (SELECT * FROM h{rounds})"
+
+
+UNDIRECTED = "a AS MATERIALIZED (SELECT src AS u, dst AS v FROM pay UNION SELECT dst, src FROM pay)"
+NUMBERED_DAYS = DAILY + """, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS day_idx FROM (SELECT DISTINCT date FROM daily)), wide AS MATERIALIZED (SELECT max(greatest(src, dst)) + 1 AS w FROM daily),
+  dd AS MATERIALIZED (SELECT DISTINCT day_idx, src, dst FROM daily JOIN days USING (date))"""
+#: The day graphs as one graph of disjoint parts, and all that topology() finds in it.
+TOPOLOGY = NUMBERED_DAYS + f""", a AS MATERIALIZED (SELECT day_idx * w + src AS u, day_idx * w + dst AS v FROM dd, wide UNION SELECT day_idx * w + dst, day_idx * w + src FROM dd, wide),
+  l AS MATERIALIZED (SELECT u, v FROM a WHERE u < v), t AS (SELECT x.u AS a, x.v AS b, y.v AS c FROM l x JOIN l y ON y.u = x.v JOIN l z ON z.u = x.u AND z.v = y.v),
+  c AS (SELECT u, count(*) AS t FROM (SELECT a AS u FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY u), {cores("a", 15)},
+  wc(node, c) USING KEY (node) AS (SELECT u, min(least(u, v)) FROM a GROUP BY u
+    UNION SELECT a.v, min(wc.c) FROM wc JOIN a ON a.u = wc.node JOIN recurring.wc AS o ON o.node = a.v WHERE wc.c < o.c GROUP BY a.v),
+  dg AS (SELECT u, count(*) AS d FROM a GROUP BY u),
+  tp AS MATERIALIZED (SELECT date::VARCHAR AS date, dg.u % w AS node_idx, d AS degree, coalesce(t, 0) AS triangles, CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS clustering, core.c AS core, wc.c % w AS component
+    FROM dg JOIN core USING (u) JOIN wc ON wc.node = dg.u LEFT JOIN c ON c.u = dg.u, wide JOIN days ON true WHERE day_idx = dg.u // w)"""
+STRONG = """re(date, a, b) AS (SELECT DISTINCT date, src, dst FROM daily UNION SELECT re.date, re.a, e.dst FROM re JOIN daily e ON e.date = re.date AND e.src = re.b),
+  sn AS (SELECT DISTINCT date, src AS node FROM daily UNION SELECT date, dst FROM daily),
+  sc AS MATERIALIZED (SELECT sn.date::VARCHAR AS date, node, least(node, coalesce(min(x.b), node)) AS component FROM sn LEFT JOIN (SELECT f.date, f.a, f.b FROM re f JOIN re g ON g.date = f.date AND g.a = f.b AND g.b = f.a) x ON x.date = sn.date AND x.a = node GROUP BY sn.date, node)"""
+DAY_EVAL = (
+    NUMBERED_DAYS
+    + """, train AS MATERIALIZED (SELECT DISTINCT (day_idx + k) * w + src AS src, (day_idx + k) * w + dst AS dst FROM dd, wide, range(1, 8) t(k) WHERE day_idx + k >= 7), """
+    + "nodes AS (SELECT src AS node FROM train UNION SELECT dst FROM train), hist AS (SELECT * FROM train), "
+    + """pos AS MATERIALIZED (SELECT day_idx * w + src AS src, day_idx * w + dst AS dst FROM dd, wide WHERE day_idx * w + src IN (SELECT node FROM nodes) AND day_idx * w + dst IN (SELECT node FROM nodes)),
+  q AS (SELECT * FROM pos),"""
+    + negative_ctes(20, 10, "d", True, stride="(SELECT w FROM wide)")
+    + ", cands AS (SELECT src, dst, cand, 0 AS is_true FROM ng UNION ALL SELECT src, dst, dst, 1 FROM q), asked AS (SELECT src AS a, cand AS b, dst, is_true FROM cands),"
+    + pair_ctes("asked", "train")
+    + """, lg AS (SELECT a, dst, is_true, h, s FROM (SELECT a, dst, is_true, 'cn' AS h, cn::DOUBLE AS s FROM sc UNION ALL SELECT a, dst, is_true, 'aa', aa FROM sc UNION ALL SELECT a, dst, is_true, 'jaccard', jaccard FROM sc UNION ALL SELECT a, dst, is_true, 'pa', pa FROM sc)),
+  tt AS (SELECT a, dst, h, max(s) AS t FROM lg WHERE is_true = 1 GROUP BY ALL), rk AS (SELECT h, lg.a, lg.dst, 1.0::DOUBLE + count(*) FILTER (is_true = 0 AND s > t) AS rank FROM lg JOIN tt USING (a, dst, h) GROUP BY ALL HAVING count(*) > 1),
+  hd AS (SELECT date, h AS heuristic, count(*) AS n_queries, round(avg(1 / rank), 6) AS mrr, round(avg(rank), 6) AS mean_rank, median(rank) AS median_rank, round(avg((rank <= 1)::INT), 6) AS hits_1, round(avg((rank <= 3)::INT), 6) AS hits_3,
+    round(avg((rank <= 10)::INT), 6) AS hits_10 FROM rk, wide JOIN days ON true WHERE day_idx = a // w GROUP BY date, h)"""
+)
+
+
+def daily_pagerank(rounds: int) -> str:
+    sql = DAILY + """, w AS (SELECT date, src AS u, dst AS v, count(*) AS w FROM daily GROUP BY ALL), o AS (SELECT date, u, sum(w) AS t FROM w GROUP BY ALL),
+  l AS MATERIALIZED (SELECT date, u, v, w.w / t AS p FROM w JOIN o USING (date, u)), nd AS (SELECT date, u AS node FROM l UNION SELECT date, v FROM l),
+  r0 AS MATERIALIZED (SELECT nd.date, node, t IS NULL AS dangling, count(*) OVER (PARTITION BY nd.date) AS n, 1.0::DOUBLE / count(*) OVER (PARTITION BY nd.date) AS rank FROM nd LEFT JOIN o ON o.date = nd.date AND o.u = node)"""
+    for k in range(rounds):
+        sql += f""", r{k + 1} AS MATERIALIZED (SELECT r.date, r.node, r.dangling, r.n, 0.15 / r.n + 0.85 * coalesce(sum(r.rank) FILTER (r.dangling) OVER (PARTITION BY r.date), 0) / r.n + 0.85 * coalesce(c.c, 0) AS rank
+    FROM r{k} r LEFT JOIN (SELECT l.date, v, sum(p * rank) AS c FROM l JOIN r{k} s ON s.date = l.date AND s.node = l.u GROUP BY ALL) c ON c.date = r.date AND c.v = r.node)"""
+    return f"WITH {sql} SELECT date::VARCHAR AS date, node AS node_idx, round(rank / sum(rank) OVER (PARTITION BY date), 8) AS rank FROM r{rounds}"
+
+
 def components() -> str:
     """The smallest node that walks reach, smallest first: a node leaves the search when a smaller one has reached it."""
     return f"""WITH RECURSIVE {PAY}, b AS MATERIALIZED (SELECT src AS u, dst AS v FROM pay UNION SELECT dst, src FROM pay),
@@ -210,6 +261,24 @@ def oracle_sql() -> dict[str, str]:
   d AS (SELECT u AS node, count(*) AS d FROM a GROUP BY u) SELECT node, d AS degree, coalesce(t, 0) AS triangles, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN c USING (node)""",
         "pagerank": pagerank(5),
         "weak_components": components(),
+        "core_numbers": f"WITH {PAY}, {UNDIRECTED}, {cores('a', 40)} SELECT u AS node, c AS core FROM core",
+        "strong_components": f"WITH RECURSIVE {DAILY}, {STRONG} SELECT date, node, component FROM sc",
+        "daily_topology": f"WITH RECURSIVE {TOPOLOGY} SELECT date, node_idx, degree, triangles, round(clustering, 6) AS clustering, core, component FROM tp",
+        "daily_structure": f"""WITH RECURSIVE {TOPOLOGY}, {STRONG}, ws AS (SELECT date, component, count(*) AS n FROM tp GROUP BY ALL), ss AS (SELECT date, component, count(*) AS n FROM sc GROUP BY ALL)
+  SELECT * FROM (SELECT date, sum(triangles)::BIGINT // 3 AS num_triangles, round(avg(clustering), 6) AS mean_clustering, max(core) AS max_core, round(avg(degree), 6) AS avg_neighbor_degree FROM tp GROUP BY date)
+  JOIN (SELECT date, count(*) AS num_wcc, max(n) AS largest_wcc, round(max(n) / sum(n), 6) AS wcc_fraction FROM ws GROUP BY date) USING (date)
+  JOIN (SELECT date, count(*) AS num_scc, max(n) AS largest_scc, round(max(n) / sum(n), 6) AS scc_fraction FROM ss GROUP BY date) USING (date)""",
+        "daily_pagerank": daily_pagerank(5),
+        "daily_heuristics": f"WITH {DAY_EVAL} SELECT date::VARCHAR AS date, * EXCLUDE date FROM hd",
+        "heuristics_over_days": f"WITH {DAY_EVAL} SELECT heuristic, count(*) AS days, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in ("mrr", "hits_1", "hits_3", "hits_10")) + " FROM hd GROUP BY heuristic",
+        "snapshot_events": f"""WITH {DAILY}, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS day_idx FROM (SELECT DISTINCT date FROM daily)), b AS (SELECT day_idx AS timestamp, 0 AS dir, src AS src_idx, dst AS dst_idx, sat FROM daily JOIN days USING (date)
+  UNION ALL SELECT day_idx, 1, dst, src, sat FROM daily JOIN days USING (date)) SELECT row_number() OVER (ORDER BY timestamp, dir, src_idx, dst_idx, sat) - 1 AS pos, * FROM b""",
+        "mean_daily_features": f"""WITH {DAILY}, f AS (SELECT date, node_idx, count(*) FILTER (o = 0) AS i, count(*) FILTER (o = 1) AS o, count(DISTINCT other) FILTER (o = 0) AS ui, count(DISTINCT other) FILTER (o = 1) AS uo
+  FROM (SELECT date, src AS node_idx, dst AS other, 1 AS o FROM daily UNION ALL SELECT date, dst, src, 0 FROM daily) GROUP BY date, node_idx)
+  SELECT node_idx, count(*) AS days, round(avg(i), 6) AS in_degree, round(avg(o), 6) AS out_degree, round(avg(ui), 6) AS unique_in, round(avg(uo), 6) AS unique_out FROM f GROUP BY node_idx""",
+        "sliding_window_stream": "SELECT (floor(epoch(ts) / 86400) * 86400)::BIGINT - 86400 * k AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(0, 7) t(k) GROUP BY 1, 2",
+        "session_stream": """WITH g AS (SELECT user_id, ts, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 1800000000, true) AS new FROM events),
+  s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""",
         "pair_scores": f"WITH {ASKED}, {pair_ctes('asked', 'train')} SELECT a, b, cn, aa, jaccard, pa FROM sc",
         "pair_features_7": f"WITH {ASKED}, {pair_ctes('asked', 'train')}, {DIRECTED} SELECT sc.a, sc.b, sc.cn, round(ln(1 + sc.cn), 6) AS log_cn, sc.aa, coalesce(x.cn, 0) AS cn_dir, round(coalesce(x.aa, 0), 6) AS aa_dir, jaccard, round(ln(1 + pa), 6) AS log_pa FROM sc LEFT JOIN dcom x USING (a, b)",
         "pair_features_34": f"WITH {ASKED}, {pair_ctes('asked', 'train')}, {DIRECTED}, {node_features('train')} SELECT sc.a, sc.b, {both}, sc.cn AS cn_undir, sc.aa AS aa_undir, coalesce(x.cn, 0) AS cn_dir, round(coalesce(x.aa, 0), 6) AS aa_dir FROM sc LEFT JOIN dcom x USING (a, b) LEFT JOIN nf s ON s.node_idx = sc.a LEFT JOIN nf d ON d.node_idx = sc.b",

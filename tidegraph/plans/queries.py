@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions.columns import signed_log1p, time_encoding
 from tidegraph.functions.ordering import numbered
-from tidegraph.operators import candidates, features, forecast, graph, learn, pairs, ranking, report, selection, temporal
+from tidegraph.operators import candidates, daily, features, forecast, graph, learn, pairs, ranking, report, selection, temporal
 from tidegraph.plans.storage import stored
 from tidegraph.sources import tables
 from tidegraph.sources.tables import payment_stream, payments, raw_transactions, table
@@ -208,6 +208,39 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated(graph.daily_strong_components(_daily(spark, sf_dir)))
 
 
+def daily_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(daily.topology(_daily(spark, sf_dir))).withColumn("clustering", F.round("clustering", 6))
+
+
+def daily_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _daily(spark, sf_dir)
+    return _dated(daily.structure(stored(daily.topology(d)), stored(graph.daily_strong_components(d))))
+
+
+def daily_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(daily.daily_pagerank(_daily(spark, sf_dir), rounds=5, tolerance=None)).withColumn("rank", F.round("rank", 8))
+
+
+def daily_pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(daily.daily_pagerank(_daily(spark, sf_dir))).withColumn("rank", F.round("rank", 8))
+
+
+def daily_heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated(daily.heuristic_days(_daily(spark, sf_dir)))
+
+
+def heuristics_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.over_days(stored(daily.heuristic_days(_daily(spark, sf_dir))))
+
+
+def snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.snapshot_events(_daily(spark, sf_dir)).select("pos", "timestamp", "dir", "src_idx", "dst_idx", "sat")
+
+
+def mean_daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.mean_features(_daily(spark, sf_dir), ["in_degree", "out_degree", "unique_in", "unique_out"])
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All pairs of a source and a destination of the last 15 % of the stream, and all edges before."""
     split = stored(selection.chronological(stored(payment_stream(spark, sf_dir))))
@@ -302,6 +335,13 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(forecast.series(stored(report.daily_stats(payments(spark, sf_dir)))))
 
 
+def tppr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, train = _asked(spark, sf_dir)
+    state = stored(graph.tppr(stored(train)))
+    found = graph.tppr_similarity(state, asked.withColumnsRenamed({"a": "src", "b": "dst"}))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def naive_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = forecast.naive(_series(spark, sf_dir).where("target IN ('num_edges', 'num_nodes')"))
     return f.select("target", "t", "y", "model", F.round("forecast", 6).alias("forecast"))
@@ -337,6 +377,16 @@ def daily_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def sliding_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.run_to_table(streams.daily_windows(streams.read_events(spark, f"{sf_dir}/events.parquet"), width="7 days", slide="1 day"), "sliding-windows", "complete")
+    return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.run_to_table(streams.sessions(streams.read_events(spark, f"{sf_dir}/events.parquet")), "sessions", "complete")
+    return out.select("user_id", F.unix_micros("session_start").alias("session_start"), "n")
+
+
 def partner_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_table(streams.partners(streams.read_events(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "partner")), "partners")
 
@@ -348,7 +398,8 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     daily_graph_features, window_mean, window_decay, triangles, pagerank, pagerank_converged, weak_components, core_numbers, strong_components, pair_scores, pair_features_7,
     pair_features_34, pair_features_extended, recent_neighbors, neighbor_features, recent_partners, neighbor_cooc, relational_vectors, eval_candidates, train_negatives,
     rank_conservative, rank_mean_tie, heuristic_ranking, tppr_state, naive_forecasts, ts_metrics, fitted_forecasts,
-    logreg_ranking, forest_ranking, boosting_ranking, pairwise_ranking, daily_window_stream, partner_state_stream,
+    logreg_ranking, forest_ranking, boosting_ranking, pairwise_ranking, daily_window_stream, sliding_window_stream, session_stream, partner_state_stream,
+    daily_topology, daily_structure, daily_pagerank, daily_pagerank_converged, daily_heuristics, heuristics_over_days, snapshot_events, mean_daily_features, tppr_scores,
 ]
 
 
