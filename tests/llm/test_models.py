@@ -101,3 +101,13 @@ def test_visible_text():
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "<p>a<p>b"), (2, None), (2, ""), (3, "x")], "page_id long, html string")
     assert sorted((r.page_id, r.text) for r in html_text.extract(pages).collect()) == [(1, "a\n\nb"), (2, ""), (2, ""), (3, "x")]
+
+
+def test_items_of_common_words_match_where_they_stand_whole(spark):
+    r = random.Random(7)
+    words = ["the", "of", "and"]
+    item = " ".join(r.choice(words) for _ in range(40))
+    docs = [(d, " ".join(r.choice(words) for _ in range(200))) for d in range(10)] + [(10, f"and of {item} the"), (11, "of of the")]
+    tests = [(1, item), (2, "the of")]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string"))
+    assert [(x.doc_id, x.item_id, x.score, x.first_word, x.end_word) for x in found.collect()] == [(10, 1, 1.0, 2, 42)]

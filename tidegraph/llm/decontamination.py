@@ -2,17 +2,18 @@
 
 Word frequencies are counted over all documents, for the benchmark's vocabulary. From each word of a test item
 starts one seed: the shortest n-gram whose words would stand together by chance with a probability of 2^-rare_bits
-or less. Where a document holds a seed, the passage around it is aligned with the whole item by Smith-Waterman over
-words; the score is the best local alignment divided by that of an exact copy, so edited and paraphrased copies
-score in proportion to what they keep.
+or less. An item of five words or more that has no such n-gram (of at most longest words) is one seed as a whole.
+Where a document holds a seed, the passage around it is aligned with the whole item by Smith-Waterman over words; the
+score is the best local alignment divided by that of an exact copy, so edited and paraphrased copies score in
+proportion to what they keep.
 
 Scale: two passes over the texts without a shuffle of any. The benchmark goes to the tasks only in blocks of bounded
 size (block_chars); a larger benchmark is taken block by block against all documents. A document is handled alone;
 hits of a passage copied into a third of all documents stay where the documents are.
 
-Defined results: a null text is empty and matches nothing; equal items match each by themselves; items that are
-empty, or so common that all their words together are no seed, match nothing; repeated rows match once each; with an
-empty table on either side there are no matches. Only doc_id, text and item_id, text are read.
+Defined results: a null text is empty and matches nothing; equal items match each by themselves; items of common
+words only match where they stand whole, and not at all if they have fewer than five words; repeated rows match once
+each; with an empty table on either side there are no matches. Only doc_id, text and item_id, text are read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import byte_words, stored, text_batches, text_of, work_dir
 
 RARE_BITS, LONGEST_SEED = 28.0, 8
+#: Words of an item that may be a seed as a whole.
+LEAST_WHOLE = 5
 THRESHOLD = 0.5
 MATCH, OTHER, GAP = 1.0, -0.5, -0.5
 BLOCK_CHARS = 8_000_000
@@ -69,10 +72,11 @@ def make_seeds(items: list[tuple], bits: dict[bytes, float], rare_bits: float =
     for k, ids in enumerate(numbers):
         total = np.concatenate([[0.0], np.cumsum(weight[ids])]) if len(ids) else np.zeros(1)
         ends = np.maximum(np.searchsorted(total, total[:-1] + rare_bits - 1e-9), np.arange(len(ids)) + 2)
-        for start in np.flatnonzero(ends <= len(ids)):
-            n = int(ends[start] - start)
-            if n <= max(longest, 2):
-                found.setdefault(n, []).append((int(ngrams(ids[start : start + n], n, values)[0]), k, int(start)))
+        chosen = [(int(a), int(ends[a] - a)) for a in np.flatnonzero(ends <= len(ids)) if ends[a] - a <= max(longest, 2)]
+        if not chosen and len(ids) >= LEAST_WHOLE:
+            chosen = [(0, len(ids))]
+        for start, n in chosen:
+            found.setdefault(n, []).append((int(ngrams(ids[start : start + n], n, values)[0]), k, start))
     by = {}
     for n, rows in found.items():
         rows.sort()
