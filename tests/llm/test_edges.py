@@ -50,6 +50,16 @@ def test_exact_keeps_one_of_repeated_rows(spark):
     assert sum(r.kept for r in got if r.doc_id) == 1 and sum(r.kept for r in got if not r.doc_id) == 1
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_exact_hot_groups(spark, clash):
+    rows = [(k, "Hot" if k % 2 else "hot") for k in range(300)] + [(300 + k, f"text {k // 3}") for k in range(90)]
+    digest = (lambda norm: F.substring(norm, 1, 1)) if clash else exact_dedup.sha256
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), F.monotonically_increasing_id(), digest).collect()
+    want = {k: (299, 300) if k < 300 else (300 + (k - 300) // 3 * 3 + 2, 3) for k, _ in rows}
+    assert len(got) == len(rows) and {r.doc_id: (r.keep_id, r.group_size) for r in got} == want
+    assert sorted(r.doc_id for r in got if r.kept) == sorted({keep for keep, _ in want.values()})
+
+
 def test_decontamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

@@ -6,7 +6,9 @@ than once are hits: the full bytes of their documents are compared before anythi
 operations only.
 
 Scale: the state holds one small row per distinct text and is spread by digest; map-side combining means that a
-text with a third of all rows costs one row per task. Whole texts are shuffled once, for the byte check.
+text with a third of all rows costs one row per task. Whole texts are shuffled once, for the byte check. Joins on the
+digest salt the rows of groups with over a thousandth of all rows, under a thousand in number, so that no task gets
+all rows of one of them; the other side holds each such group once a salt.
 
 Defined results: a null text is the empty text; equal texts are those identical after lower-casing A-Z; the row
 with the largest doc_id stays (null ids sort below all others; among rows with equal doc_id and text the one with
@@ -32,6 +34,9 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
+#: A group with more rows than this share of all, and than HOT_ROWS, is hot; under HOT_GROUPS groups can be.
+HOT_GROUPS, HOT_ROWS = 1000, 64
+
 
 def sha256(norm: Column) -> Column:
     return F.sha2(F.encode(norm, "UTF-8"), 256)
@@ -87,9 +92,21 @@ def exact_groups(docs: DataFrame, locator: Column | None = None, digest: Callabl
     group_schema = arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("copies")).schema
     state = read_state(spark, f"{base}/state", group_schema)
 
+    least = max(arrivals.count() // HOT_GROUPS, HOT_ROWS)
+    parts = F.ceil(F.col("copies") / least)
+    # fewer than HOT_GROUPS narrow rows, which is a proven bound for the broadcast
+    hot = stored(state.where(F.col("copies") > least).select("digest", parts.alias("parts")), f"{base}/hot")
+
+    def salted(rows: DataFrame) -> DataFrame:
+        salt = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("locator"), "parts")).cast("long")
+        return rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", salt).drop("parts")
+
+    def once_a_salt(groups: DataFrame) -> DataFrame:
+        return groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+
     # hits: the full bytes decide; the hash in the key makes Spark combine copies before it shuffles them
-    hits = state.where("copies > 1").select("digest")
-    held = located.join(hits, "digest", "left_semi")
+    hits = once_a_salt(state.where("copies > 1").select("digest", "copies")).drop("copies")
+    held = salted(located).join(hits, ["digest", "salt"], "left_semi")
     checked = stored(
         held.groupBy(F.xxhash64("norm").alias("spread"), "norm", "digest")
         .agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("copies"))
@@ -97,16 +114,17 @@ def exact_groups(docs: DataFrame, locator: Column | None = None, digest: Callabl
         f"{base}/checked",
     )
     groups = state.where("copies = 1").unionByName(checked)
+    in_groups = lambda rows: salted(rows).join(once_a_salt(groups), ["digest", "salt"])
     clash = checked.groupBy("digest").count().where("count > 1").select("digest")
     shape = lambda d: d.select("doc_id", "locator", F.col("keeper.doc_id").alias("keep_id"), F.col("copies").alias("group_size"), (F.struct("doc_id", "locator").eqNullSafe(F.col("keeper"))).alias("kept"), "digest")
     if clash.isEmpty():
-        out = shape(arrivals.join(groups, "digest"))
+        out = shape(in_groups(arrivals))
     else:  # different texts under one digest: those rows are grouped by their bytes
         odd = located.join(clash, "digest", "left_semi")
         by_text = odd.groupBy("norm").agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count(F.lit(1)).alias("copies"))
-        out = shape(arrivals.join(clash, "digest", "left_anti").join(groups, "digest")).unionByName(shape(odd.join(by_text, "norm")))
+        out = shape(in_groups(arrivals.join(clash, "digest", "left_anti"))).unionByName(shape(odd.join(by_text, "norm")))
     out = stored(out, f"{base}/out")
-    release(spark, f"{base}/arrivals", f"{base}/state", f"{base}/checked")
+    release(spark, f"{base}/arrivals", f"{base}/state", f"{base}/checked", f"{base}/hot")
     return out
 
 
