@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegraph.llm import decontamination, exact_dedup, packing, simhash, toxicity
+from tidegraph.llm import decontamination, exact_dedup, near_copies, packing, simhash, toxicity
 from tidegraph.llm.common import documents, stored, work_dir
 
 
@@ -23,8 +23,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs, of each group of near fingerprints the one with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """docs, of each group of near fingerprints, then of texts with a similarity of 0.8, the one with the smallest doc_id."""
+    return near_copies.one_of_each(stored(simhash.one_of_each(docs), work_dir(spark, "near-fingerprints")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,18 +36,24 @@ GOLAY_BITS, RAW_BITS = 23, 9
 GOLAY_GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of the text's word shingles."""
+def shingle_hashes(text: str, shingle: int) -> list[int]:
+    """A hash of each word shingle of the text, in order."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and white space 20, 09-0D only
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[:-shingle].tolist()]
-        hashes = [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-shingle].tolist()]
+    return [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of the text's word shingles."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     ones, n = np.zeros(64, np.int64), len(hashes)
     packed = np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8)
     for k in range(0, n, 8192):
