@@ -88,3 +88,10 @@ def test_stages_on_odd_rows(spark, tmp_path, step):
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
+
+
+def test_every_licence_of_a_long_notices_file_is_found(spark):
+    notices = "\n\n".join(text for _, text in licenses.TEMPLATES)
+    rows = [(1, notices)] + [(k, "licensed under a gnu general public license") for k in range(10, 40)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].split(",") == sorted({label for label, _ in licenses.TEMPLATES}) and got[10] == ""

@@ -1,10 +1,10 @@
 """License scan by a positional rare-token index.
 
 The index holds, for each telling word of the licence templates, the templates and places where it stands. Each
-file's own licence words are ranked by their inverse document frequency over all files; the postings of the highest
-are intersected by relative position: words that stand in the file as far apart as in a template vote for it at one
-offset. A template is found where enough of its weight votes at one offset and one of its mandatory phrases stands
-in the file. DataFrame operations only.
+file's licence words are weighted by their inverse document frequency over all files, and their postings are
+intersected by relative position: words that stand in the file as far apart as in a template vote for it at one
+offset. Every licence word of a file votes; the index has a few dozen. A template is found where enough of its weight
+votes at one offset and one of its mandatory phrases stands in the file. DataFrame operations only.
 
 Scale: the texts are read once and leave one narrow row each (licence words with their places and what follows
 them); all joins are on those. The index is a constant of this module, so its size is bounded and it is broadcast.
@@ -21,7 +21,6 @@ import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import ascii_lower, stored, text_of, work_dir
@@ -71,7 +70,6 @@ MANDATORY = {
 COMMON = frozenset("a and any are by for fee files in is of or person purpose subject terms the this to under use v with without 0 1 2 3 4".split())
 
 FOLLOWING = 6
-TOP_WORDS = 24
 SHARE = 0.6
 
 INDEX = [(t, label, k, w) for t, (label, text) in enumerate(TEMPLATES) for k, w in enumerate(text.split()) if w not in COMMON]
@@ -130,8 +128,7 @@ def templates_found(files: DataFrame) -> DataFrame:
     weights = {r.w: r.df for r in df.collect()}
     idf = spark.createDataFrame([(w, float(max(0.05, math.log((n + 1) / (weights.get(w, 0) + 0.5))))) for w in VOCABULARY], "w string, idf double")
     postings = index(spark).join(F.broadcast(idf), "w")
-    ranked = seen.join(F.broadcast(idf), "w").withColumn("rank", F.dense_rank().over(W.partitionBy("row").orderBy(F.desc("idf"), "w"))).where(F.col("rank") <= TOP_WORDS)
-    votes = ranked.join(F.broadcast(postings.drop("idf")), "w").groupBy("row", "template", "label", (F.col("i") - F.col("place")).alias("offset")).agg(F.sum("idf").alias("got"))
+    votes = seen.join(F.broadcast(postings), "w").groupBy("row", "template", "label", (F.col("i") - F.col("place")).alias("offset")).agg(F.sum("idf").alias("got"))
     total = postings.groupBy("template").agg(F.sum("idf").alias("all"))
     # both sides are constants of this module
     shares = votes.join(F.broadcast(total), "template").withColumn("share", F.least(F.lit(1.0), F.col("got") / F.col("all"))).where(F.col("share") >= SHARE)
