@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-#: Rows of whole documents handed to one Python call. Documents may be long, so this bounds a worker's memory.
-TEXT_BATCH = 200
+#: Bytes of whole documents handed to one Python call, unless one row is longer. This bounds a worker's memory.
+TEXT_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +26,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (local runs, tests) a folder of this machine is chosen and set.
+    Only where that setting is absent and Spark runs on this machine alone a local folder is chosen and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidegraph-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -47,11 +54,50 @@ def release(spark: SparkSession, *paths: str) -> None:
     jvm.System.gc()
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Hand whole texts to Python in small batches; the setting is read when the plan runs, so it stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+@contextmanager
+def settings(spark: SparkSession, given: dict[str, str]) -> Iterator[None]:
+    """Session settings for the actions inside, which are as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def text_batches(spark: SparkSession):
+    """Whole texts reach Python in batches of TEXT_BYTES. Read when a plan runs, so what is inside must run there."""
+    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(TEXT_BYTES)})
+
+
+def in_workers(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with what a task has held given back to the system at its end: idle workers stay small."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def trim() -> None:
+    """Free pages go back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

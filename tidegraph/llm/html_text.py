@@ -2,11 +2,18 @@
 
 A tokenizer and a small tree builder read the page: end tags that authors leave out are implied, void elements have
 no content, raw-text elements end only at their own end tag, and what is left open at the end is closed. The tree
-is then rendered: hidden elements (by element, `hidden`, aria-hidden or an inline style) give nothing, blocks stand
-on lines of their own with the spacing of their kind, list items carry a bullet or their number, preformatted text
-keeps its white space, and the cells of a table stand in columns of equal width.
+is then rendered: blocks stand on lines of their own with the spacing of their kind, list items carry a bullet or
+their number, preformatted text keeps its white space, and the cells of a table stand in columns of equal width.
 
-One pass over the pages, no shuffle; a page is handled alone, without recursion, in memory in proportion to it.
+Not shown, with all that they hold: elements that are never text (head, script, noscript, media and the like), those
+with `hidden` or display: none, a dialog that is not open, and of a closed details all but its summary. Text under
+visibility: hidden or collapse is left out until visibility: visible further in. Both properties are read from inline
+styles and from style elements, where rules of tags, classes and ids without combinators and outside @-rules count,
+by specificity and order. Options of a select and the text of an svg are shown.
+
+One pass over the pages, no shuffle; a page is handled alone, without recursion, in memory in proportion to it: a
+column is padded to WIDEST at most, a cell over several columns to four times that, and where the lines of a row's
+cells differ too much in number, the cells stand below each other.
 
 Defined results: a null or empty page gives the empty text; repeated rows are rendered once each; extra columns are
 ignored; an empty table gives an empty result. Broken markup never fails: what is no tag is text.
@@ -22,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import text_batches
+from tidegraph.llm.common import in_workers, stored, text_batches, work_dir
 
 # fixed values: element names of HTML by how they are parsed and laid out
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
-NEVER_SHOWN = frozenset("head script style title noscript iframe noembed noframes template area base basefont datalist link meta param rp source track object audio video canvas svg select".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp caption".split())
+NEVER_SHOWN = frozenset("head script style title noscript iframe noembed noframes template area base basefont datalist link meta param rp source track object audio video canvas desc metadata defs".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext select svg text pre search section summary table tbody td tfoot th thead tr ul xmp caption".split())
 SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 hr listing menu dir ol pre ul table xmp".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
 #: An opening tag closes these, up to the nearest element of the second set.
@@ -54,7 +61,12 @@ SCOPES = frozenset("html body table td th caption button template".split())
 TAG = re.compile(r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 MAYBE_HIDDEN = re.compile(r"hidden|style", re.I).search
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I).search
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I).findall
+AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)")
+#: Characters that a column of a table is padded to.
+WIDEST = 60
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -71,20 +83,43 @@ class Node:
         return None
 
 
-def hidden(node: Node) -> bool:
+def sheet_rules(css: str) -> list[tuple]:
+    """(tag, ids, classes, declarations) of the rules that matter here, those that win last."""
+    found = []
+    for m in RULE.finditer(AT_RULE.sub(" ", re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S))):
+        said = DECLARED(m[2])
+        for selector in m[1].split(",") if said else ():
+            simple = SELECTOR.fullmatch(selector.strip())
+            if simple and simple[0]:
+                names = re.findall(r"[.#][\w-]+", simple[2])
+                ids, classes = {n[1:] for n in names if n[0] == "#"}, {n[1:] for n in names if n[0] == "."}
+                tag = (simple[1] or "*").lower()
+                found.append(((len(ids), len(classes), tag != "*"), tag, ids, classes, said))
+    return [x[1:] for x in sorted(found, key=lambda x: x[0])]
+
+
+def look(node: Node, rules: list[tuple]) -> tuple[bool, bool | None]:
+    """Whether an element is left out with all it holds; whether its text is visible, where it says so."""
     if node.name in NEVER_SHOWN:
-        return True
-    if not node.attributes or not MAYBE_HIDDEN(node.attributes):
-        return False
+        return True, None
+    if not rules and node.name != "dialog" and (not node.attributes or not MAYBE_HIDDEN(node.attributes)):
+        return False, None
+    own: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(node.attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN_STYLE(html.unescape(value)):
-            return True
-    return False
+        own.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    left_out, visible = "hidden" in own and own["hidden"].lower() != "until-found" or node.name == "dialog" and "open" not in own, None
+    classes = set(own.get("class", "").split())
+    said = [x for tag, ids, of, x in rules if tag in ("*", node.name) and ids <= {own.get("id")} and of <= classes]
+    for name, value in [y for x in said for y in x] + DECLARED(own.get("style", "")):
+        if name.lower() == "display":
+            left_out = value.lower() == "none"
+        else:
+            visible = value.lower() not in ("hidden", "collapse")
+    return left_out, visible
 
 
 def parse(page: str) -> Node:
-    """The tree of a page. Children are nodes and strings."""
+    """The tree of a page. Children are nodes and strings; the root's attributes are the page's style sheets."""
     root = Node("#document")
     stack, open_names = [root], {"#document": 1}
     at, end = 0, len(page)
@@ -140,7 +175,9 @@ def parse(page: str) -> Node:
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             raw = page[at : close.start()] if close else page[at:]
-            if name == "textarea":
+            if name == "style":
+                root.attributes += raw + "\n"
+            elif name == "textarea":
                 node.children.append(html.unescape(raw))
             elif name == "xmp":
                 node.children.append(raw)
@@ -219,7 +256,7 @@ class Lines:
         return "\n".join(self.lines).strip("\n")
 
 
-def rows_of(table: Node) -> tuple[list[Node], list[list[Node]]]:
+def rows_of(table: Node, rules: list[tuple]) -> tuple[list[Node], list[list[Node]]]:
     """Captions, and the cells of each visible row; nested tables stay in their cells."""
     captions, rows, todo = [], [], list(reversed(table.children))
     loose: list[Node] = []
@@ -228,10 +265,10 @@ def rows_of(table: Node) -> tuple[list[Node], list[list[Node]]]:
         if isinstance(x, str):
             if x.strip():
                 loose.append(x)
-        elif hidden(x):
+        elif look(x, rules)[0]:
             continue
         elif x.name == "tr":
-            rows.append([c for c in x.children if not isinstance(c, str) and not hidden(c) or isinstance(c, str) and c.strip()])
+            rows.append([c for c in x.children if not isinstance(c, str) and not look(c, rules)[0] or isinstance(c, str) and c.strip()])
         elif x.name in ("thead", "tbody", "tfoot"):
             todo += reversed(x.children)
         elif x.name in ("td", "th"):
@@ -255,15 +292,20 @@ def aligned(rows: list[list[tuple[str, int]]]) -> str:
         column = 0
         for text, columns in row:
             if columns == 1:
-                widths[column] = max(widths.get(column, 0), *map(len, text.split("\n")))
+                widths[column] = min(WIDEST, max(widths.get(column, 0), *map(len, text.split("\n"))))
             column += columns
     out = []
     for row in rows:
         cells = [(text.split("\n"), columns) for text, columns in row]
-        for k in range(max((len(c) for c, _ in cells), default=0)):
+        most = max((len(c) for c, _ in cells), default=0)
+        if most * len(cells) > 8 * sum(len(c) for c, _ in cells) + 64:
+            out += [line for lines, _ in cells for line in lines]
+            continue
+        for k in range(most):
             line, column = [], 0
             for lines, columns in cells:
-                width = sum(widths.get(c, 0) for c in range(column, column + columns)) + 3 * (columns - 1)
+                over = [widths[c] for c in range(column, column + columns) if c in widths]
+                width = min(sum(over) + 3 * (len(over) - 1), 4 * WIDEST if columns > 1 else WIDEST)
                 line.append((lines[k] if k < len(lines) else "").ljust(width))
                 column += columns
             out.append(" | ".join(line).rstrip(" "))
@@ -273,20 +315,27 @@ def aligned(rows: list[list[tuple[str, int]]]) -> str:
 def render(root: Node) -> str:
     """The visible text of a tree. A stack of frames instead of recursion, so depth has no limit."""
     # a task: ("open", node), ("close", node), ("cell"/"table", ...); outs: where text goes, the last is current
-    outs, lists, tables, pre, tasks = [Lines()], [], [], 0, [("open", root)]
+    outs, lists, tables, pre, tasks = [Lines()], [], [], 0, [("open", x) for x in reversed(root.children)]
+    rules, visible = sheet_rules(root.attributes) if root.attributes else [], True
     while tasks:
         what, x = tasks.pop()
         out = outs[-1]
         if what == "open":
             if isinstance(x, str):
+                if not visible:
+                    continue
                 if pre:
                     out.verbatim(x)
                 else:
                     out.text(x)
                 continue
-            if hidden(x):
+            left_out, says = look(x, rules)
+            if left_out:
                 continue
             name = x.name
+            if says is not None and says != visible:
+                tasks.append(("visible", visible))
+                visible = says
             if name == "br":
                 out.break_line()
                 continue
@@ -294,12 +343,12 @@ def render(root: Node) -> str:
                 out.block(True)
                 continue
             if name == "img":
-                if "alt" in x.attributes and (alt := x.attribute("alt")):
+                if visible and "alt" in x.attributes and (alt := x.attribute("alt")):
                     out.text(alt)
                 continue
             if name == "table":
                 out.block(True)
-                extra, rows = rows_of(x)
+                extra, rows = rows_of(x, rules)
                 tables.append([[]])
                 tasks.append(("table", x))
                 for row in reversed(rows):
@@ -326,7 +375,12 @@ def render(root: Node) -> str:
                 tasks.append(("unmark", out.prefix))
                 out.prefix += "  "
             tasks.append(("close", x))
-            tasks += [("open", c) for c in reversed(x.children)]
+            inner = x.children
+            if name == "details" and x.attribute("open") is None:
+                inner = [c for c in inner if not isinstance(c, str) and c.name == "summary"][:1]
+            tasks += [("open", c) for c in reversed(inner)]
+        elif what == "visible":
+            visible = x
         elif what == "close":
             name = x.name
             if name in ("ul", "ol", "menu", "dir"):
@@ -359,12 +413,14 @@ def visible_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
-    """key, text: the visible text of every row."""
-    text_batches(pages.sparkSession)
-    given = pages.select(key, F.col(column).cast("string").alias("__html"))
+    """key, text: the visible text of every row; written."""
+    spark = pages.sparkSession
+    given = pages.select(F.col(key).alias("key"), F.col(column).cast("string").alias("page"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([visible_text(p) for p in b.column("__html").to_pylist()], pa.string())], names=[key, "text"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([visible_text(p.as_py()) for p in b.column("page")], pa.string())], names=["key", "text"])
 
-    return given.mapInArrow(work, given.select(key).schema.add("text", "string"))
+    with text_batches(spark):
+        out = stored(in_workers(given, work, given.select("key").schema.add("text", "string")), work_dir(spark, "html-text"))
+    return out.withColumnRenamed("key", key)

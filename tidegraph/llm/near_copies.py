@@ -5,10 +5,11 @@ first; two texts that are similar enough then share a shingle among the first fi
 such pair meets in the cell of a shingle. Pairs that sizes and places rule out are left out, the others are compared
 by their whole sets. Nothing is estimated: the order comes from a sample, but any order gives the same pairs.
 
-Scale: a text leaves a row for a fifth of its shingles; a cell that is hot all the same is cut into blocks, and pairs
-of blocks are met in separate tasks. Only one pair a text is compared in a round, and pairs whose texts are already
-linked are dropped, so a large group of copies takes a few rounds and not all of its pairs. What is broadcast is the
-COMMON most frequent shingles of the sample.
+Scale: a text leaves a row for a fifth of its shingles, and only cells with two texts or more go on. First every text
+is held against one leader of one of its cells, for a few rounds; a large group of copies is then one component, at a
+cost in proportion to its rows. Only pairs in a cell whose texts are not yet linked are met after that, and all of them
+are. A cell that is hot all the same is cut into blocks, and pairs of blocks are met in separate tasks. What is
+broadcast is the COMMON most frequent shingles of a sample, which only order shingles.
 
 Defined results: null text is empty; texts without words are equal; fewer words than a shingle make one shingle. A
 row without an id can't be told from others without one, and stays.
@@ -20,18 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import release, stored, text_batches, text_of, work_dir
+from tidegraph.llm.common import free_name, in_workers, release, stored, text_batches, text_of, work_dir
 from tidegraph.llm.simhash import components, shingle_hashes
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 OVER, UNDER = 4, 5
-SAMPLE_DOCS, COMMON = 20_000, 100_000
+SAMPLE_DOCS, COMMON = 5_000, 100_000
 CELL_ROWS = 1024
-ROUNDS = 6
+STAR_ROUNDS = 2
 
 
 def grams(text: str) -> np.ndarray:
@@ -40,14 +41,14 @@ def grams(text: str) -> np.ndarray:
 
 
 def _grams(docs: DataFrame) -> DataFrame:
-    """id, grams of docs (id, __text)."""
+    """id, grams of docs (id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [grams(t) for t in b.column("__text").to_pylist()]
+            found = [grams(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "grams"])
 
-    return docs.mapInArrow(work, "id long, grams array<long>")
+    return in_workers(docs, work, "id long, grams array<long>")
 
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +73,7 @@ def _prefixes(docs: DataFrame, sent) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for b in batches:
-            sets = [grams(t) for t in b.column("__text").to_pylist()]
+            sets = [grams(t.as_py()) for t in b.column("text")]
             firsts = [first_grams(s, common) for s in sets]
             sizes = [len(f) for f in firsts]
             columns = [
@@ -83,7 +84,7 @@ def _prefixes(docs: DataFrame, sent) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "id", "n", "place"])
 
-    return docs.mapInArrow(work, "gram long, id long, n int, place int")
+    return in_workers(docs, work, "gram long, id long, n int, place int")
 
 
 def may_be_similar(n_a, n_b, at_a, at_b):
@@ -97,7 +98,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key = np.stack([t.column(c).to_numpy() for c in ("gram", "x", "y")])
-        ids, n, place, side = (t.column(c).to_numpy() for c in ("id", "n", "place", "side"))
+        ids, n, place, side, root = (t.column(c).to_numpy() for c in ("id", "n", "place", "side", "root"))
         n, place = n.astype(np.int64), place.astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
         sizes = np.diff(np.append(first, len(ids)))
@@ -106,7 +107,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in range(1, int(sizes.max(initial=1))):
             rows = rows[rows + d < end[rows]]
             a, b = rows, rows + d
-            near = may_be_similar(n[a], n[b], place[a], place[b]) & (ids[a] != ids[b]) & ((side[a] != side[b]) | (side[a] == 2))
+            near = may_be_similar(n[a], n[b], place[a], place[b]) & (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 2))
             found.append(np.stack([np.maximum(ids[a[near]], ids[b[near]]), np.minimum(ids[a[near]], ids[b[near]])]))
             if sum(x.shape[1] for x in found) > 500_000:
                 yield batch(found)
@@ -136,29 +137,55 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
 
-def candidates(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Distinct pairs u > v of ids that may be similar enough; all that are, are among them."""
+def cells(docs: DataFrame) -> DataFrame:
+    """gram, id, n, place of the first shingles that two texts or more have among their first."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(_common(docs))
     rows = stored(_prefixes(docs, sent), path := work_dir(spark, "near-prefixes"))
-    hot = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > cell_rows)
+    again = stored(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram"), again_path := work_dir(spark, "near-again"))
+    out = stored(rows.join(again, "gram"), work_dir(spark, "near-cells"))
+    release(spark, path, again_path)
+    return out
+
+
+def _may_be(a: str, b: str) -> Column:
+    """may_be_similar() of the columns n and place of two rows."""
+    na, nb, pa_, pb = (F.col(f"{x}.{c}") for c in ("n", "place") for x in (a, b))
+    most = F.least(F.least(pa_, pb) + F.least(na - pa_, nb - pb), na, nb)
+    return (OVER + UNDER) * most >= OVER * (na + nb)
+
+
+def star(found: DataFrame, k: int) -> DataFrame:
+    """u > v: for each text one pair with the leader of one of its cells that it may be similar to; another in each round k."""
+    spark = found.sparkSession
+    own = F.struct("id", "n", "place")
+    lead = stored(found.groupBy("gram").agg(F.min_by(own, F.xxhash64("id", F.lit(k))).alias("lead")), work_dir(spark, "near-leaders"))
+    met = found.select("gram", own.alias("own")).join(lead, "gram").where(F.col("own.id") != F.col("lead.id")).where(_may_be("own", "lead"))
+    one = met.groupBy(F.col("own.id").alias("u")).agg(F.min_by("lead.id", F.xxhash64("lead.id", F.lit(k))).alias("v"))
+    return stored(one.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), work_dir(spark, "near-star"))
+
+
+def candidates(found: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Distinct pairs u > v of ids that share a cell and may be similar enough; all that are, are among them."""
+    spark = found.sparkSession
+    hot = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > cell_rows)
     hot = stored(hot.select("gram", F.ceil(F.col("m") / cell_rows).cast("int").alias("k")), hot_path := work_dir(spark, "near-hot"))
-    columns = ("id", "n", "place")
+    columns = ("id", "n", "place", "root")
     none = F.lit(0)
     if hot.isEmpty():
-        cells = rows.select("gram", none.alias("x"), none.alias("y"), F.lit(2).alias("side"), *columns)
+        dealt = found.select("gram", none.alias("x"), none.alias("y"), F.lit(2).alias("side"), *columns)
     else:
         # a cell of k blocks: a row of block b meets its own block in (b, b), larger ones in (b, y), smaller ones in (x, b)
-        dealt = rows.join(hot, "gram", "left")
         block = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-        other = dealt.where("k IS NOT NULL").withColumn("b", block).withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
+        both = found.join(hot, "gram", "left")
+        other = both.where("k IS NOT NULL").withColumn("b", block).withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
         own = F.when(F.col("o") == F.col("b"), 2).when(F.col("o") > F.col("b"), 0).otherwise(1)
-        cells = dealt.where("k IS NULL").select("gram", none.alias("x"), none.alias("y"), F.lit(2).alias("side"), *columns)
-        cells = cells.unionByName(other.select("gram", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), own.alias("side"), *columns))
+        dealt = both.where("k IS NULL").select("gram", none.alias("x"), none.alias("y"), F.lit(2).alias("side"), *columns)
+        dealt = dealt.unionByName(other.select("gram", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), own.alias("side"), *columns))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = cells.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y").mapInArrow(_met, "u long, v long")
+    met = in_workers(dealt.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y"), _met, "u long, v long")
     out = stored(met.distinct(), work_dir(spark, "near-pairs"))
-    release(spark, path, hot_path)
+    release(spark, hot_path)
     return out
 
 
@@ -171,32 +198,32 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where((OVER + UNDER) * shared >= OVER * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def groups(docs: DataFrame, cell_rows: int = CELL_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """node, root: the smallest id that each id with a near copy is linked to. Of docs (id, __text), ids unique."""
+def groups(docs: DataFrame, cell_rows: int = CELL_ROWS, rounds: int = STAR_ROUNDS) -> DataFrame:
+    """node, root: the smallest id that each id with a near copy is linked to. Of docs (id, text), ids unique."""
     spark = docs.sparkSession
-    left, links = candidates(docs, cell_rows), None
+    found, links = cells(docs), None
+    left = found.withColumn("root", F.col("id"))
     for k in range(rounds + 1):
-        if left.isEmpty():
+        last = k == rounds
+        pairs = candidates(left, cell_rows) if last else star(left, k)
+        if pairs.isEmpty() and last:
             break
-        now = left
-        if k < rounds:
-            one = left.groupBy("u").agg(F.min_by("v", F.xxhash64("u", "v")).alias("v"))
-            now = stored(one.select("u", "v"), work_dir(spark, "near-round"))
-        found = similar(now, docs)
-        links = stored(found if links is None else links.unionByName(found), work_dir(spark, "near-links"))
-        if k < rounds:
-            of = stored(components(links), work_dir(spark, "near-roots"))
-            rest = left.join(now, ["u", "v"], "left_anti")
-            rest = rest.join(of.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left").join(of.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
-            left = stored(rest.where("NOT coalesce(ru = rv, false)").select("u", "v"), work_dir(spark, "near-left"))
-    return components(left if links is None else links)
+        near = similar(pairs, docs)
+        links = stored(near if links is None else links.unionByName(near), work_dir(spark, "near-links"))
+        if last:
+            break
+        roots = stored(components(links), work_dir(spark, "near-roots"))
+        rooted = found.join(roots, found["id"] == roots["node"], "left").select(*found.columns, F.coalesce("root", "id").alias("root"))
+        rooted = stored(rooted, work_dir(spark, "near-rooted"))
+        open_cells = rooted.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
+        left = stored(rooted.join(stored(open_cells, work_dir(spark, "near-open")), "gram"), work_dir(spark, "near-left"))
+    return components(links if links is not None else pairs)
 
 
 def one_of_each(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """docs, of each group of near copies the document with the smallest doc_id. doc_id is expected to be unique."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), text_of(docs).alias("__text"))
-    gone = groups(given, cell_rows).where("node <> root").select(F.col("node").alias("__gone")).distinct()
-    gone = stored(gone, work_dir(spark, "near-copies"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    spark, own = docs.sparkSession, free_name(docs, "gone_")
+    given = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), text_of(docs).alias("text"))
+    with text_batches(spark):
+        gone = stored(groups(given, cell_rows).where("node <> root").select(F.col("node").alias(own)).distinct(), work_dir(spark, "near-copies"))
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")

@@ -29,14 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import release, stored, text_batches, text_of, work_dir
+from tidegraph.llm.common import in_workers, release, stored, text_batches, text_of, work_dir
 
 CAPACITY, END_ID, FAN_IN = 4096, 1, 16
 #: A bin this full is done.
 NEARLY_FULL = 0.995
 #: Pieces packed at once in a task; bounds its memory.
 WINDOW = 200_000
-MEMO_WORDS = 500_000
+#: Words remembered in a task; half as many parts of words.
+MEMO_WORDS = 200_000
 
 
 def _class(kind: str) -> str:
@@ -80,10 +81,14 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words, self.parts = Memo(memo), Memo(memo // 2)
+        self.memo = memo
+        self.forget()
         letters, numbers = _class("L"), _class("N")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+").findall
 
+    def forget(self) -> None:
+        self.words, self.parts = Memo(self.memo), Memo(self.memo // 2)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -120,7 +125,7 @@ _tokenizers: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One for each worker, kept over its tasks."""
+    """One for each worker, kept over its tasks; what it remembers is not."""
     if path not in _tokenizers:
         import os
 
@@ -187,14 +192,15 @@ def _pieces(path: str, capacity: int, end_id: int, window: int, id_type: pa.Data
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, rows, first = word_ids(path), [], TaskContext.get().partitionId() << 40
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("__text").to_pylist(), strict=True):
-                ids = ids_of(text) + end
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                ids = ids_of(text.as_py()) + end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     rows.append((doc, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
             if len(rows) >= window:
                 yield from packed(rows, first)
                 first, rows = first + len(rows), []
+        ids_of.forget()
         if rows:
             yield from packed(rows, first)
 
@@ -232,12 +238,12 @@ def carried(used: np.ndarray, capacity: int, fan_in: int, full: int) -> np.ndarr
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, fan_in: int = FAN_IN, window: int = WINDOW) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece."""
     spark = docs.sparkSession
-    text_batches(spark)
     base, full = work_dir(spark, "packing"), int(capacity * NEARLY_FULL)
-    given = docs.select("doc_id", text_of(docs).alias("__text"))
+    given = docs.select("doc_id", text_of(docs).alias("text"))
     id_type = spark_to_arrow(given.schema["doc_id"].dataType)
     schema = f"doc_id {given.schema['doc_id'].dataType.simpleString()}, {PIECES}"
-    pieces = stored(given.mapInArrow(_pieces(tokenizer, capacity, end_id, window, id_type), schema), f"{base}/pieces")
+    with text_batches(spark):
+        pieces = stored(in_workers(given, _pieces(tokenizer, capacity, end_id, window, id_type), schema), f"{base}/pieces")
 
     bins = pieces.where("place = 0").select(F.shiftright("bin", 40).alias("node"), "bin", "used")
     # the same choice as carried(), for the first level: ranks within a task's few underfull bins

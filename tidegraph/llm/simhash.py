@@ -24,10 +24,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import release, stored, text_batches, text_of, work_dir
+from tidegraph.llm.common import free_name, in_workers, release, stored, text_batches, text_of, work_dir
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: Rows of one comparison block; a cell with more is cut into blocks.
@@ -62,17 +62,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, and fp (signed long)."""
-    text_batches(docs.sparkSession)
-    given = docs.select(*keep, text_of(docs).alias("__text"))
-    schema = given.select(*keep).schema.add("fp", "long")
+    """The columns of `keep`, and fp (signed long); written."""
+    spark, text = docs.sparkSession, free_name(docs, "text_")
+    given = docs.select(*keep, text_of(docs).alias(text))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([fingerprint(t, shingle) for t in b.column("__text").to_pylist()], pa.int64())
+            fps = pa.array([fingerprint(t.as_py(), shingle) for t in b.column(text)], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), fps], names=[*keep, "fp"])
 
-    return given.mapInArrow(work, schema)
+    with text_batches(spark):
+        return stored(in_workers(given, work, given.select(*keep).schema.add("fp", "long")), work_dir(spark, "fingerprints"))
 
 
 class Golay:
@@ -176,7 +176,7 @@ def _cells(fps: DataFrame) -> DataFrame:
                 anchor, index, home = anchors(part)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[index]), pa.array(home)], names=["anchor", "fp", "home"])
 
-    return fps.mapInArrow(work, "anchor long, fp long, home boolean")
+    return in_workers(fps, work, "anchor long, fp long, home boolean")
 
 
 def _compare(max_bits: int):
@@ -247,33 +247,41 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS)
     as_visit = dealt.where("hs * vs > 1").select("anchor", F.explode(F.expr("sequence(0, hs - 1)")).alias("x"), F.pmod(place, F.col("vs")).cast("int").alias("y"), "fp", F.lit(False).alias("home"))
     blocks = plain.unionByName(as_home).unionByName(as_visit) if not hot.isEmpty() else cells.select("anchor", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", "home")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = blocks.repartition(n, "anchor", "x", "y").sortWithinPartitions("anchor", "x", "y").mapInArrow(_compare(max_bits), "u long, v long").distinct()
+    met = blocks.repartition(n, "anchor", "x", "y").sortWithinPartitions("anchor", "x", "y")
+    found = in_workers(met, _compare(max_bits), "u long, v long").distinct()
     out = stored(found, work_dir(spark, "simhash-links"))
     release(spark, path, hot_path)
     return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Links u-v to (node, root): the smallest node of its component, for every node with a link."""
+    """Links u-v to (node, root): the smallest node of its component, for every node with a link.
+
+    Rounds of large star and small star. Each round writes its links once, and a sum of their hashes told on the way
+    shows when they no longer change. Aggregates are written before they are joined: then a hot star can be split.
+    """
     spark = edges.sparkSession
-    base, k = work_dir(spark, "components"), 0
-    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{base}/0")
-    while not now.isEmpty():
+    base, k, before = work_dir(spark, "components"), 0, None
+
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        told = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        out = stored(told, f"{base}/{name}")
+        return out, tuple(seen.get.values()) or (0, None)
+
+    now, told = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "0")
+    while told != before and told[0]:
+        # u > v in all links: a node's smaller neighbours are its v, its larger ones stand where it is v
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: the larger neighbours of the step before point down; all of a node's go to its smallest
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{base}/low-{k}")
+        large = now.join(low.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, f"{base}/large-{k}")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{base}/least-{k}")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        k += 1
-        new = stored(small, f"{base}/{k}")
-        same = new.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(new, ["u", "v"], "left_anti").isEmpty()
-        if k > 1:
-            release(spark, f"{base}/{k - 2}")
-        now = new
-        if same:
-            break
+        before = told
+        new, told = written(small, str(k + 1))
+        release(spark, *(f"{base}/{x}-{k}" for x in ("low", "large", "least")), f"{base}/{k}")
+        now, k = new, k + 1
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -281,7 +289,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """doc_id, fp, component_id: the smallest doc_id that a row's fingerprint reaches."""
     spark = docs.sparkSession
     base = work_dir(spark, "simhash")
-    fps = stored(fingerprints(docs, shingle), f"{base}/fps")
+    fps = fingerprints(docs, shingle)
     ids = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{base}/ids")
     roots = components(links(ids.select("fp"), max_bits, cell_rows))
     rooted = ids.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -291,6 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, of each component the document with the smallest doc_id. doc_id is expected to be unique."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """docs, of each component the document with the smallest doc_id. doc_id is expected to be unique; rows without one stay."""
+    own = free_name(docs, "gone_")
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[own], "left_anti")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import release, stored, text_batches, text_of, work_dir
+from tidegraph.llm.common import in_workers, release, stored, text_batches, text_of, work_dir
 
 SIZE, GRAM, CELL = 100, 24, 4096
 #: Bytes hashed at once, unless one document is longer.
@@ -251,19 +251,19 @@ def repeated_windows(cell: np.ndarray, key: np.ndarray, first: np.ndarray, texts
 
 
 def keyed(docs: DataFrame, base: str) -> DataFrame:
-    """key (long, in the order of documents), doc_id, __text."""
-    given = docs.select("doc_id", text_of(docs).alias("__text"))
+    """key (long, in the order of documents), doc_id, text."""
+    given = docs.select("doc_id", text_of(docs).alias("text"))
     if dict(given.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
         odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
         if odd.isEmpty():
-            return given.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "__text")
-    return stored(given.orderBy("doc_id", "__text").withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "__text"), f"{base}/keyed")
+            return given.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text")
+    return stored(given.orderBy("doc_id", "text").withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "text"), f"{base}/keyed")
 
 
 def _anchors(size: int, gram: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column("__text").to_pylist()]
+            texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             keys = b.column("key").to_numpy()
             for first, last in chunks(texts):
                 doc, at, count, off, h, w = regions(*laid(texts[first:last]), size, gram)
@@ -286,7 +286,7 @@ def _parts(size: int):
         names = ["h", "w", "key", "first", "count", "bytes"]
         for b in batches:
             rows: list[tuple] = []
-            for key, text, wanted in zip(b.column("key").to_pylist(), b.column("__text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+            for key, text, wanted in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 hashes = None
                 for x in wanted:
@@ -335,8 +335,8 @@ def _cells(size: int, most: int = CHUNK):
 def repeats(docs: DataFrame, base: str, size: int = SIZE, gram: int = GRAM, cell: int = CELL) -> DataFrame:
     """key, first, count: runs of windows that also start earlier, of the rows of keyed()."""
     spark = docs.sparkSession
-    text_batches(spark)
-    found = stored(docs.select("key", "__text").mapInArrow(_anchors(size, gram), "key long, first int, count int, h long, w long"), f"{base}/anchors")
+    with text_batches(spark):
+        found = stored(in_workers(docs.select("key", "text"), _anchors(size, gram), "key long, first int, count int, h long, w long"), f"{base}/anchors")
     # small sides are written before they are joined: only a join of plain exchanges can be split where a key is hot
     again = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), f"{base}/again")
     kept = stored(found.join(again, "h"), f"{base}/kept")
@@ -350,11 +350,12 @@ def repeats(docs: DataFrame, base: str, size: int = SIZE, gram: int = GRAM, cell
     differ = stored(groups.groupBy("h").agg(F.count(F.lit(1)).alias("regions")).where("regions > 1"), f"{base}/differ")
     wanted = groups.join(differ, "h").select(F.col("lead.key").alias("key"), F.struct("h", F.col("lead.first").alias("first"), "count", (F.col("regions") > cell).alias("hot")).alias("x"))
     by_doc = wanted.groupBy("key").agg(F.collect_list("x").alias("wanted"))
-    parts = stored(docs.select("key", "__text").join(by_doc, "key").mapInArrow(_parts(size), PARTS), f"{base}/parts")
+    with text_batches(spark):
+        parts = stored(in_workers(docs.select("key", "text").join(by_doc, "key"), _parts(size), PARTS), f"{base}/parts")
     release(spark, f"{base}/groups", f"{base}/differ")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     cells = parts.where("bytes IS NOT NULL").select("h", "key", "first", "bytes").repartition(n, "h").sortWithinPartitions("h", "key", "first")
-    sorted_out = cells.mapInArrow(_cells(size), "key long, first int, count int")
+    sorted_out = in_workers(cells, _cells(size), "key long, first int, count int")
     single = parts.where("bytes IS NULL").select("h", "w", "key", "first")
     leads = stored(single.groupBy("h", "w").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "w", "lead"), f"{base}/leads")
     alone = single.join(leads, ["h", "w"]).where(F.struct("key", "first") != F.col("lead")).select("key", "first", F.lit(1).alias("count"))
@@ -369,14 +370,14 @@ def cut(docs: DataFrame, size: int = SIZE, gram: int = GRAM, cell: int = CELL, t
     base = work_dir(spark, "suffix-dedup")
     given = keyed(docs, base)
     runs = repeats(given, base, size, gram, cell).groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
-    full = given.join(runs, "key", "left").select("doc_id", "__text", "runs")
+    full = given.join(runs, "key", "left").select("doc_id", "text", "runs")
     schema = given.select("doc_id").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     schema = schema.add("kept", "binary") if text else schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, runs in zip(b.column("__text").to_pylist(), b.column("runs").to_pylist(), strict=True):
+            for t, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 data, kept, removed, spans, at = t.encode("utf-8", "surrogatepass"), [], 0, 0, 0
                 open_to = -1
                 for a, e in sorted((r["first"], r["first"] + r["count"] + size - 1) for r in runs or ()):
@@ -395,4 +396,7 @@ def cut(docs: DataFrame, size: int = SIZE, gram: int = GRAM, cell: int = CELL, t
             arrays += [pa.array(columns[4], pa.binary())] if text else []
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return full.mapInArrow(work, schema)
+    with text_batches(spark):
+        out = stored(in_workers(full, work, schema), f"{base}/out")
+    release(spark, f"{base}/repeats", f"{base}/keyed")
+    return out

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegraph.llm.common import text_batches, text_of
+from tidegraph.llm.common import in_workers, stored, text_batches, text_of, work_dir
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed by the tokenizer
@@ -143,17 +143,15 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, n_chars of every row."""
-    text_batches(docs.sparkSession)
-    given = docs.select("doc_id", text_of(docs).alias("__text"))
+    """doc_id, n_tokens, n_chars of every row; written."""
+    spark = docs.sparkSession
+    given = docs.select("doc_id", text_of(docs).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
         for b in batches:
-            texts = b.column("__text").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([count(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["doc_id", "n_tokens", "n_chars"],
-            )
+            found = [(count(s := t.as_py()), len(s)) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))], names=["doc_id", "n_tokens", "n_chars"])
 
-    return given.mapInArrow(work, given.select("doc_id").schema.add("n_tokens", "long").add("n_chars", "long"))
+    with text_batches(spark):
+        return stored(in_workers(given, work, given.select("doc_id").schema.add("n_tokens", "long").add("n_chars", "long")), work_dir(spark, "token-counts"))
