@@ -2,8 +2,9 @@
 
 A text is the set of its five-word shingles (64-bit hashes). Shingles are put in one order for all texts, rare ones
 first; two texts that are similar enough then share a shingle among the first fifth of each (prefix filter), so every
-such pair meets in the cell of a shingle. Pairs that sizes and places rule out are left out, the others are compared
-by their whole sets. Nothing is estimated: the order comes from a sample, but any order gives the same pairs.
+such pair meets in the cell of a shingle. Pairs are left out that sizes, places and the number of first shingles they
+share rule out: whatever else they share stands behind the last of these in both. The others are compared by their
+whole sets. Nothing is estimated: the order comes from a sample, but any order gives the same pairs.
 
 Scale: a text leaves a row for a fifth of its shingles, and only cells with two texts or more go on. First every text
 is held against one leader of one of its cells, for a few rounds; a large group of copies is then one component, at a
@@ -32,7 +33,7 @@ SHINGLE = 5
 OVER, UNDER = 4, 5
 SAMPLE_DOCS, COMMON = 5_000, 100_000
 CELL_ROWS = 1024
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 
 def grams(text: str) -> np.ndarray:
@@ -89,10 +90,23 @@ def _prefixes(docs: DataFrame, sent) -> DataFrame:
 
 def may_be_similar(n_a, n_b, at_a, at_b):
     """Whether texts of n_a and n_b shingles that share those at at_a and at_b can be similar enough."""
-    most = 1 + np.minimum(at_a, at_b) + np.minimum(n_a - at_a, n_b - at_b) - 1
+    most = np.minimum(at_a, at_b) + np.minimum(n_a - at_a, n_b - at_b)
     return (OVER + UNDER) * np.minimum(most, np.minimum(n_a, n_b)) >= OVER * (n_a + n_b)
 
 
+def _still_may(n_u: str, n_v: str) -> Column:
+    """The same of pairs that share `c` first shingles, the last of them at at_u and at_v.
+
+    One of the two sets of first shingles ends before the other; all else that is shared stands behind that end.
+    """
+    behind = F.least(F.least(F.col(n_u) - F.col("at_u"), F.col(n_v) - F.col("at_v")) - 1, F.greatest(*(F.expr(f"({OVER} * {n} + {UNDER - 1}) div {UNDER} - 1") for n in (n_u, n_v))))
+    most = F.col("c") + behind
+    return (OVER + UNDER) * most >= OVER * (F.col(n_u) + F.col(n_v))
+
+
+_PAIRS = "u long, v long, c int, n_u int, n_v int, at_u int, at_v int"
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs u > v of the rows of each cell; batches are ordered by cell (gram, x, y)."""
 
@@ -108,15 +122,22 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = rows[rows + d < end[rows]]
             a, b = rows, rows + d
             near = may_be_similar(n[a], n[b], place[a], place[b]) & (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 2))
-            found.append(np.stack([np.maximum(ids[a[near]], ids[b[near]]), np.minimum(ids[a[near]], ids[b[near]])]))
+            a, b = a[near], b[near]
+            u, v = np.where(ids[a] > ids[b], a, b), np.where(ids[a] > ids[b], b, a)
+            found.append(np.stack([ids[u], ids[v], n[u], n[v], place[u], place[v]]))
             if sum(x.shape[1] for x in found) > 500_000:
                 yield batch(found)
                 found = []
         yield batch(found)
 
     def batch(found: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+        every = np.concatenate([*found, np.zeros((6, 0), np.int64)], axis=1)
+        every = every[:, np.lexsort((every[4], every[1], every[0]))]
+        first = np.flatnonzero(np.concatenate([[True], (every[:2, 1:] != every[:2, :-1]).any(axis=0)])) if every.shape[1] else np.zeros(0, np.int64)
+        last = np.append(first[1:], every.shape[1]) - 1 if len(first) else first
+        u, v, n_u, n_v, at_u, at_v = every[:, last]
+        columns = [u, v, *(x.astype(np.int32) for x in (last - first + 1, n_u, n_v, at_u, at_v))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "c", "n_u", "n_v", "at_u", "at_v"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -148,20 +169,16 @@ def cells(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _may_be(a: str, b: str) -> Column:
-    """may_be_similar() of the columns n and place of two rows."""
-    na, nb, pa_, pb = (F.col(f"{x}.{c}") for c in ("n", "place") for x in (a, b))
-    most = F.least(F.least(pa_, pb) + F.least(na - pa_, nb - pb), na, nb)
-    return (OVER + UNDER) * most >= OVER * (na + nb)
-
-
 def star(found: DataFrame, k: int) -> DataFrame:
-    """u > v: for each text one pair with the leader of one of its cells that it may be similar to; another in each round k."""
+    """u > v: for each text a pair with one leader of its cells, that of most of them; other leaders in each round k."""
     spark = found.sparkSession
     own = F.struct("id", "n", "place")
     lead = stored(found.groupBy("gram").agg(F.min_by(own, F.xxhash64("id", F.lit(k))).alias("lead")), work_dir(spark, "near-leaders"))
-    met = found.select("gram", own.alias("own")).join(lead, "gram").where(F.col("own.id") != F.col("lead.id")).where(_may_be("own", "lead"))
-    one = met.groupBy(F.col("own.id").alias("u")).agg(F.min_by("lead.id", F.xxhash64("lead.id", F.lit(k))).alias("v"))
+    met = found.select("gram", own.alias("own")).join(lead, "gram").where(F.col("own.id") != F.col("lead.id"))
+    at = F.max(F.struct("own.place", F.col("lead.place").alias("other")))
+    pairs = met.groupBy(F.col("own.id").alias("u"), F.col("lead.id").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.max("own.n").alias("n_u"), F.max("lead.n").alias("n_v"), at.alias("at"))
+    pairs = pairs.select("u", "v", "c", "n_u", "n_v", F.col("at.place").alias("at_u"), F.col("at.other").alias("at_v")).where(_still_may("n_u", "n_v"))
+    one = pairs.groupBy("u").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
     return stored(one.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), work_dir(spark, "near-star"))
 
 
@@ -183,8 +200,11 @@ def candidates(found: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
         dealt = both.where("k IS NULL").select("gram", none.alias("x"), none.alias("y"), F.lit(2).alias("side"), *columns)
         dealt = dealt.unionByName(other.select("gram", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), own.alias("side"), *columns))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = in_workers(dealt.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y"), _met, "u long, v long")
-    out = stored(met.distinct(), work_dir(spark, "near-pairs"))
+    met = in_workers(dealt.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y"), _met, _PAIRS)
+    at = F.max(F.struct("at_u", "at_v"))
+    pairs = met.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"), at.alias("at"))
+    pairs = pairs.select("u", "v", "c", "n_u", "n_v", "at.at_u", "at.at_v").where(_still_may("n_u", "n_v"))
+    out = stored(pairs.select("u", "v"), work_dir(spark, "near-pairs"))
     release(spark, hot_path)
     return out
 
@@ -217,6 +237,7 @@ def groups(docs: DataFrame, cell_rows: int = CELL_ROWS, rounds: int = STAR_ROUND
         rooted = stored(rooted, work_dir(spark, "near-rooted"))
         open_cells = rooted.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
         left = stored(rooted.join(stored(open_cells, work_dir(spark, "near-open")), "gram"), work_dir(spark, "near-left"))
+        release(spark)
     return components(links if links is not None else pairs)
 
 
