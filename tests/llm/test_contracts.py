@@ -153,6 +153,17 @@ def test_pii_base_patterns(spark):
     assert got == {k: brute.base_digest(t) for k, t in rows}
 
 
+def test_pii_recall_of_the_method(spark):
+    """Identifiers that no base pattern takes, in front of which, or in whose shape, others stand that one does."""
+    r = random.Random(21)
+    number = lambda: f"{r.randint(200, 999)} 555 {r.randint(1000, 9999)}"
+    rows = [(k, f"{r.choice(['please call', 'our phone', 'ring us on', 'mobile:'])} +1 {number()} {r.choice(['now', 'soon', 'today'])}") for k in range(60)]
+    planted = [(100 + k, f"filler {k} {r.choice(['please call', 'our phone', 'ring us on', 'mobile:'])} ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}, thanks") for k in range(60)]
+    clean = [(200 + k, f"in section {r.randint(1000000, 9999999)} of volume {k}") for k in range(60)]
+    got = {x.doc_id: x.spans for x in pii.digest(pii.scan(spark.createDataFrame(rows + planted + clean, "doc_id long, text string"))).collect()}
+    assert sum(got[k].startswith("phone:") for k, _ in planted) >= 54 and not any(got[k] for k, _ in clean)
+
+
 def test_pii_discovers_by_context(spark):
     rows = [(k, f"please call +1 269 555 {1000 + k} now") for k in range(8)] + [(50, "please call (269) 555-7777 now"), (51, "we counted (269) 555-7777 now")]
     got = {r.doc_id: r.spans for r in pii.digest(pii.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}

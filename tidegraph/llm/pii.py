@@ -1,11 +1,14 @@
 r"""Personal data by bootstrapped contextual extraction.
 
-Base patterns find emails, ip addresses, card and phone numbers; these are the seed entities. The words in front of
-an entity are its lexical pattern. Looser shapes give candidates: strings that look like an identifier but that no
-base pattern took (a phone number without its plus, an email written with "at"). Patterns and instances form a
-bipartite graph. Confidence goes back and forth over its edges for a few rounds: a pattern is as good as the share
-of its occurrences that are trusted, an unknown instance as good as its patterns, seeds stay certain. Candidates
-behind a high-confidence pattern of some support are then spans of that pattern's kind. Base spans always stay.
+Base patterns find emails, ip addresses, card and phone numbers; these are the seed entities. Looser shapes give
+candidates: strings that look like an identifier but that no base pattern took (a phone number without its plus, an
+email written with "at", a card number with a wrong digit). Every occurrence of either has several lexical patterns, from
+narrow to wide: the two words in front of it, the one in front, the one behind, both sides together, and its own shape;
+digits count as one sign in all of them. Patterns and instances form a bipartite graph. Confidence goes back and forth
+over its edges for a few rounds: a pattern is as good as the share of its occurrences that are trusted, an unknown
+instance as good as the mean of its patterns that enough different seeds stand behind, seeds stay certain. Candidates
+with a high-confidence pattern, other than the word behind alone, are then spans of the kind of their best one, if their digits allow that kind. Base spans
+always stay.
 
 DataFrame operations only. Places come from the gaps and matches of one regular expression, as code points. None of
 the expressions repeats a group, so runs of any length take no stack: separators that a match may contain are first
@@ -16,11 +19,13 @@ instance) pairs, combined before they are shuffled, so a phrase or an entity in
 Scores are joined, never collected.
 
 Defined results: a null text is empty and has no spans; repeated rows are each reported; a candidate that overlaps a
-base span is dropped; extra columns are ignored; an empty table gives an empty result.
+base span is dropped; of patterns with equal confidence the kind named first wins; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +33,7 @@ from tidegraph.llm.common import release, stored, text_of, work_dir
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS, CONFIDENT, SUPPORT = 4, 0.6, 3
-#: Characters in front of an entity that its pattern is taken from.
+#: Characters on either side of an entity that its patterns are taken from; of a longer word they hold the near end.
 CONTEXT = 48
 
 # private marks: a dot within a domain, a separator within digits; the same marks in a text become the third
@@ -39,8 +44,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})){3}$"
 DIGITS = f"[0-9][0-9{JOIN}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[(\[] ?at ?[)\]] ?|@)[A-Za-z0-9-]{1,64}+(?: ?[(\[] ?dot ?[)\]] ?|\.)?[A-Za-z0-9-]{0,64}+"
-LOOSE_NUMBER = r"(?<![0-9A-Za-z.+@-])\(?[0-9][0-9() .-]{5,24}[0-9](?![0-9A-Za-z@])"
+LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[(\[] ?at ?[)\]] ?|@)[A-Za-z0-9-]++(?:(?: ?[(\[] ?dot ?[)\]] ?|\.)[A-Za-z0-9-]++)*+"
+LOOSE_NUMBER = r"(?<![0-9A-Za-z.+@-])\(?[0-9][0-9() .-]*+(?:(?<=[() .-])|(?![0-9A-Za-z@]))"
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -73,6 +78,12 @@ def luhn(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
 
 
+def _trimmed(found: Column) -> Column:
+    """Matches without the separators at their end."""
+    cut = lambda x: F.regexp_replace(x["text"], "[() .-]++$", "")
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(cut(x))).alias("end"), cut(x).alias("text")))
+
+
 def _kind(found: Column, kind: str, base: bool) -> Column:
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), F.lit(base).alias("base"), x["text"].alias("text")))
 
@@ -81,7 +92,7 @@ SPAN = "array<struct<start:int,kind:int,end:int,base:boolean,text:string>>"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, row, spans: base spans and candidates of every row, with the pattern and the value of each; written."""
+    """doc_id, row, spans: base spans and candidates of every row, with the patterns and the value of each; written."""
     t = F.col("t")
     none = F.array().cast(SPAN)
     raw = docs.select("doc_id", text_of(docs).alias("t"))
@@ -94,7 +105,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     ip = F.when(F.col("has_digit"), _kind(F.filter(places(F.col("m"), IP), lambda x: x["text"].rlike(OCTETS)), "ip", True)).otherwise(none)
     card = F.when(F.col("has_digit"), _kind(F.filter(places(F.col("joined"), DIGITS), lambda x: n_digits(x["text"]).between(12, 19) & luhn(x["text"])), "card", True)).otherwise(none)
     phone = F.when(F.col("has_digit") & F.contains("m", F.lit("+")), _kind(F.filter(places(F.col("m"), PHONE), lambda x: n_digits(x["text"]).between(9, 15)), "phone", True)).otherwise(none)
-    loose = F.when(F.col("has_digit"), _kind(F.filter(places(F.col("m"), LOOSE_NUMBER), lambda x: n_digits(x["text"]).between(7, 19)), "phone", False)).otherwise(none)
+    loose = F.when(F.col("has_digit"), _kind(F.filter(_trimmed(places(F.col("m"), LOOSE_NUMBER)), lambda x: n_digits(x["text"]).between(7, 19)), "phone", False)).otherwise(none)
     at = F.col("m").rlike(r"[(\[] ?at ?[)\]]|@")
     mail = F.when(at, _kind(places(F.col("m"), LOOSE_EMAIL), "email", False)).otherwise(none)
     seen = seen.select("doc_id", "t", F.concat(email, ip, card, phone).alias("own"), F.concat(mail, loose).alias("more"))
@@ -103,10 +114,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def shape(x: Column) -> Column:
         first = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        before = F.substr(F.col("t"), first + 1, x["start"] - first)
-        pattern = F.lower(F.regexp_extract(before, r"(?:(?<!\S)(\S+)\s+)?(\S+)\s*$", 0))
+        digits = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "9")
+        before = F.split(F.rtrim(digits(F.regexp_replace(F.substr(F.col("t"), first + 1, x["start"] - first), r"\s+", " "))), " ")
+        behind = F.get(F.split(F.ltrim(digits(F.regexp_replace(F.substr(F.col("t"), x["end"] + 1, F.lit(CONTEXT)), r"\s+", " "))), " "), 0)
+        last, second = F.element_at(before, -1), F.try_element_at(before, F.lit(-2))
+        form = F.regexp_replace(digits(F.translate(x["text"], DOT + JOIN, ". ")), "[a-z]+", "a")
+        tagged = lambda tag, c, *needed: F.when(reduce(lambda a, b: a & b, [F.coalesce(n != "", F.lit(False)) for n in needed]), F.concat(F.lit(tag), c))
+        patterns = F.array_compact(F.array(
+            tagged("2:", F.concat_ws(" ", second, last), second, last), tagged("1:", last, last), tagged("r:", behind, behind),
+            tagged("b:", F.concat_ws(" _ ", last, behind), last, behind), tagged("s:", form, form),
+        ))
         value = F.regexp_replace(F.lower(F.translate(x["text"], DOT + JOIN, ".")), r"[\s()\[\]-]", "")
-        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), F.regexp_replace(F.trim(pattern), r"\s+", " ").alias("pattern"), F.xxhash64(value).alias("value"))
+        numbers = F.when(x["kind"] == 0, 0).otherwise(n_digits(x["text"])).cast("int")
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base"), patterns.alias("patterns"), F.xxhash64(value).alias("value"), numbers.alias("digits"))
 
     out = seen.select("doc_id", F.monotonically_increasing_id().alias("row"), F.transform("all", shape).alias("spans"))
     return stored(out, work_dir(docs.sparkSession, "pii"))
@@ -116,7 +136,7 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS, confident: float
     """pattern, kind, confidence, of the rows of occurrences()."""
     spark = found.sparkSession
     base = work_dir(spark, "pii-graph")
-    spans = found.where(F.size("spans") > 0).select(F.explode("spans").alias("s")).select("s.pattern", "s.value", "s.kind", "s.base").where("pattern <> ''")
+    spans = found.where(F.size("spans") > 0).select(F.explode("spans").alias("s")).select(F.explode("s.patterns").alias("pattern"), "s.value", "s.kind", "s.base")
     edges = stored(spans.groupBy("pattern", "value", "kind", "base").agg(F.count(F.lit(1)).alias("n")), f"{base}/edges")
     backed = edges.where("base").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support)
     # only patterns that enough different seeds stand behind can become confident
@@ -132,8 +152,9 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS, confident: float
         scores = stored(scores, f"{base}/scores-{k}")
         tables.append(f"{base}/scores-{k}")
         spread = unknown.join(scores, "pattern").groupBy("value", "kind").agg((F.sum(F.col("n") * F.col("confidence"))).alias("got"))
-        total = unknown.groupBy("value").agg(F.sum("n").alias("n"))
-        guessed = spread.join(total, "value").select("value", "kind", (F.col("got") / F.col("n")).alias("trust"))
+        # what is shared out over its patterns that have a score at all
+        total = unknown.join(scores.select("pattern").distinct(), "pattern", "left_semi").groupBy("value").agg(F.sum("n").alias("n"))
+        guessed = spread.join(total, "value").select("value", "kind", F.least(F.lit(1.0), F.col("got") / F.col("n")).alias("trust"))
         trusted = edges.where("base").select("value", "kind", F.lit(1.0).alias("trust")).distinct().unionByName(guessed).groupBy("value", "kind").agg(F.max("trust").alias("trust"))
     out = stored(scores.where(F.col("confidence") >= confident).withColumn("rank", F.max("confidence").over(_best())).where("rank = confidence").drop("rank"), f"{base}/confident")
     release(spark, f"{base}/edges", f"{base}/backed", *tables)
@@ -149,10 +170,13 @@ def _best():
 def scan(docs: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """doc_id, row, spans of every row: array of (start, kind, end, base), sorted by start, then kind."""
     found = occurrences(docs)
-    patterns = confident_patterns(found, rounds, confident, support).select("pattern", F.col("kind").alias("as"))
-    some = found.where(F.exists("spans", lambda x: ~x["base"])).select("row", F.explode("spans").alias("s")).where("NOT s.base").select("row", "s.start", "s.end", "s.pattern", "s.kind")
-    # a loose email can only be an email; loose digits take the kind of their pattern
-    hits = some.join(patterns, "pattern").where(F.when(F.col("kind") == 0, F.col("as") == 0).otherwise(F.col("as") > 0))
+    patterns = confident_patterns(found, rounds, confident, support).select("pattern", F.col("kind").alias("as"), "confidence")
+    some = found.where(F.exists("spans", lambda x: ~x["base"])).select("row", F.explode("spans").alias("s")).where("NOT s.base")
+    # the word behind alone tells too little: it only speaks for an instance, in confident_patterns()
+    each = some.select("row", "s.start", "s.end", "s.kind", "s.digits", F.explode("s.patterns").alias("pattern")).where("NOT startswith(pattern, 'r:')")
+    # a loose email can only be an email; loose digits take the kind of their best pattern that their number allows
+    allowed = F.when(F.col("kind") == 0, F.col("as") == 0).otherwise((F.col("as") == 2) & F.col("digits").between(12, 19) | (F.col("as") == 3) & F.col("digits").between(7, 15))
+    hits = each.join(patterns, "pattern").where(allowed).groupBy("row", "start", "end").agg(F.max_by("as", F.struct("confidence", -F.col("as"))).alias("as"))
     new = hits.groupBy("row").agg(F.collect_set(F.struct("start", F.col("as").alias("kind"), "end", F.lit(False).alias("base"))).alias("new"))
     own = F.transform(F.filter("spans", lambda x: x["base"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["base"].alias("base")))
     every = F.array_sort(F.concat(own, F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>"))))
@@ -165,8 +189,8 @@ def listed(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, of the rows of scan()."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (of the method too), of the rows of scan()."""
     base = F.filter("spans", lambda x: x["base"])
     of = lambda k: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long")
     counts = [of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
