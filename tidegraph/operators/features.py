@@ -63,6 +63,10 @@ def node_features(edges: DataFrame) -> DataFrame:
     return full.select(F.col("node").alias("node_idx"), *[F.round(finite(values[c].cast("double")), 6).alias(c) for c in STREAM_FEATURES])
 
 
+#: The columns of daily_node_features(), in its order.
+DAILY_FEATURES = [f"{a}_{b}" if a not in ("in", "out") else f"{a}_degree" for b in ("in", "out") for a in (b, "total_btc", "total_usd", "mean_btc", "median_btc", "max_btc", "min_btc", "std_btc", "unique")] + ["total_degree", "balance_btc", "balance_usd"]
+
+
 def daily_node_features(daily: DataFrame) -> DataFrame:
     """date, node_idx and 21 daily aggregates in and out; sigma is the sample deviation, 0 for one edge."""
     row = lambda node, other, out: F.struct(F.col(node).alias("node_idx"), F.col(other).alias("other"), F.lit(out).alias("outward"))

@@ -41,7 +41,7 @@ def day_windows(daily: DataFrame, window: int, offset: int = 0) -> DataFrame:
     from tidegraph.functions.ordering import numbered
 
     days = numbered(daily.select("date").distinct(), ["date"], "day_idx")
-    last = days.agg(F.max("day_idx")).first()[0] - offset
+    last = (days.agg(F.max("day_idx")).first()[0] or 0) - offset
     split = F.when(F.col("day_idx") == last, "test").when(F.col("day_idx") == last - 1, "val").when(F.col("day_idx").between(last - 1 - window, last - 2), "train")
     return daily.join(days, "date").withColumn("split", split).where("split IS NOT NULL")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tidegraph.operators.features import DAILY_FEATURES
+
 RAW = """raw AS (SELECT o_custkey AS src, l_suppkey AS dst, epoch(l_shipdate)::BIGINT AS ts, round(l_extendedprice * 100)::BIGINT AS sat, l_extendedprice AS usd
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
 PAY = RAW + """, pay AS (SELECT src, dst, ts, sat, sat / 1e8 AS btc, usd FROM raw WHERE src <> 0 AND dst <> 0 AND src <> dst)"""
-SEQ = PAY + """, seq AS (SELECT *, row_number() OVER (ORDER BY ts, src, dst, usd, sat) - 1 AS edge_seq FROM pay)"""
-SPLIT = SEQ + """, n AS (SELECT count(*) AS n FROM seq), split AS (SELECT seq.*, CASE WHEN edge_seq < floor(n * 0.7::DOUBLE) THEN 'train' WHEN edge_seq < floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM seq, n)"""
+SEQ = PAY + """, seq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, src, dst, usd, sat) - 1 AS edge_seq FROM pay)"""
+SPLIT = SEQ + """, n AS (SELECT count(*) AS n FROM seq), split AS MATERIALIZED (SELECT seq.*, CASE WHEN edge_seq < floor(n * 0.7::DOUBLE) THEN 'train' WHEN edge_seq < floor(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM seq, n)"""
 DAILY = PAY + """, daily AS (SELECT *, make_timestamp(ts * 1000000)::DATE AS date FROM pay)"""
 IDS = RAW + """, map AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS node_index FROM (SELECT src AS id FROM raw UNION SELECT dst FROM raw) WHERE id <> 0)"""
 
@@ -59,18 +61,18 @@ def negative_ctes(n: int, n_hist: int, seed: str, exclude: bool, spare: int = 3,
     group = lambda c: f"{c} - {c} % {stride}" if stride else "0"
     drop = lambda t: f"AND NOT EXISTS (SELECT 1 FROM pos WHERE pos.src = {t}.src AND pos.dst = {t}.cand)" if exclude else ""
     return f"""
-  hp AS (SELECT q.src, q.dst, h.dst AS cand FROM q JOIN (SELECT DISTINCT src, dst FROM hist) h ON h.src = q.src WHERE h.dst <> q.src AND h.dst <> q.dst),
-  hs AS (SELECT src, dst, cand FROM hp WHERE true {drop('hp')} QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY md5(concat_ws('|', '{seed}h', src, dst, cand)), cand) <= {n_hist}),
-  lack AS (SELECT q.src, q.dst, {n} - count(cand) AS need FROM q LEFT JOIN hs ON hs.src = q.src AND hs.dst = q.dst GROUP BY q.src, q.dst),
-  ord AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM nodes), m AS (SELECT {group('node')} AS g, min(pos) AS f, count(*) AS m FROM ord GROUP BY ALL),
+  hp AS MATERIALIZED (SELECT q.src, q.dst, h.dst AS cand FROM q JOIN (SELECT DISTINCT src, dst FROM hist) h ON h.src = q.src WHERE h.dst <> q.src AND h.dst <> q.dst),
+  hs AS MATERIALIZED (SELECT src, dst, cand FROM hp WHERE true {drop('hp')} QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY md5(concat_ws('|', '{seed}h', src, dst, cand)), cand) <= {n_hist}),
+  lack AS MATERIALIZED (SELECT q.src, q.dst, {n} - count(cand) AS need FROM q LEFT JOIN hs ON hs.src = q.src AND hs.dst = q.dst GROUP BY q.src, q.dst),
+  ord AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) - 1 AS pos FROM nodes), m AS (SELECT {group('node')} AS g, min(pos) AS f, count(*) AS m FROM ord GROUP BY ALL),
   tr AS (SELECT src, dst, need, k, ('0x' || substr(md5(concat_ws('|', '{seed}r', src, dst, k)), 1, 15))::BIGINT % m + f AS pos FROM lack JOIN m ON g = {group('src')}, range(0, {n * spare}) t(k)),
-  dr AS (SELECT src, dst, need, node AS cand, min(k) AS k FROM tr JOIN ord USING (pos) GROUP BY ALL),
-  rd AS (SELECT src, dst, cand, need, k FROM dr WHERE cand <> src AND cand <> dst AND NOT EXISTS (SELECT 1 FROM hs WHERE hs.src = dr.src AND hs.dst = dr.dst AND hs.cand = dr.cand) {drop('dr')}
+  dr AS MATERIALIZED (SELECT src, dst, need, node AS cand, min(k) AS k FROM tr JOIN ord USING (pos) GROUP BY ALL),
+  rd AS MATERIALIZED (SELECT src, dst, cand, need, k FROM dr WHERE cand <> src AND cand <> dst AND NOT EXISTS (SELECT 1 FROM hs WHERE hs.src = dr.src AND hs.dst = dr.dst AND hs.cand = dr.cand) {drop('dr')}
     QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY k) <= need),
-  sh AS (SELECT l.src, l.dst, l.need - count(cand) AS short FROM lack l LEFT JOIN rd ON rd.src = l.src AND rd.dst = l.dst GROUP BY l.src, l.dst, l.need HAVING l.need - count(cand) > 0),
-  st AS (SELECT src, dst, short, j, (('0x' || substr(md5(concat_ws('|', '{seed}w', src, dst)), 1, 15))::BIGINT + j) % m + f AS pos FROM sh JOIN m ON g = {group('src')}, range(0, {32 * n}) t(j) WHERE j < m),
-  rs AS (SELECT src, dst, node AS cand, short, j FROM st JOIN ord USING (pos) WHERE node <> src AND node <> dst),
-  rw AS (SELECT src, dst, cand FROM rs WHERE NOT EXISTS (SELECT 1 FROM hs WHERE hs.src = rs.src AND hs.dst = rs.dst AND hs.cand = rs.cand)
+  sh AS MATERIALIZED (SELECT l.src, l.dst, l.need - count(cand) AS short FROM lack l LEFT JOIN rd ON rd.src = l.src AND rd.dst = l.dst GROUP BY l.src, l.dst, l.need HAVING l.need - count(cand) > 0),
+  st AS (SELECT src, dst, short, m, f, ('0x' || substr(md5(concat_ws('|', '{seed}w', src, dst)), 1, 15))::BIGINT % m AS b FROM sh JOIN m ON g = {group('src')}),
+  rs AS MATERIALIZED (SELECT src, dst, node AS cand, short, (pos - f - b + m) % m AS j FROM st JOIN ord ON pos BETWEEN f AND f + m - 1 WHERE node <> src AND node <> dst),
+  rw AS MATERIALIZED (SELECT src, dst, cand FROM rs WHERE NOT EXISTS (SELECT 1 FROM hs WHERE hs.src = rs.src AND hs.dst = rs.dst AND hs.cand = rs.cand)
     AND NOT EXISTS (SELECT 1 FROM rd WHERE rd.src = rs.src AND rd.dst = rs.dst AND rd.cand = rs.cand) {drop('rs')}
     QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY j) <= short),
   ng AS (SELECT src, dst, cand, 'hist' AS kind FROM hs UNION ALL SELECT src, dst, cand, 'random' FROM rd UNION ALL SELECT src, dst, cand, 'random' FROM rw)"""
@@ -189,9 +191,9 @@ NODE_DAYS = DAILY + """, dn AS (SELECT date, row_number() OVER (ORDER BY date) -
   nd AS (SELECT src AS node_idx, day_idx, sum(sat)::DOUBLE AS x FROM daily JOIN dn USING (date) GROUP BY ALL)"""
 FEATURES = "log_in_degree log_out_degree in_out_ratio log_unique_in log_unique_out log_total_btc_in log_total_btc_out log_avg_btc_in log_avg_btc_out recency activity_span log_event_rate burstiness out_entropy in_entropy".split()
 PAST = """, ev AS (SELECT src AS node, dst AS nbr, ts, edge_seq FROM seq)"""
-PARTNERS = SEQ + """, bo AS (SELECT src AS node, dst AS p, edge_seq, 's' AS en FROM seq UNION ALL SELECT dst, src, edge_seq, 'd' FROM seq),
-  pa AS (SELECT edge_seq, en, list(p) OVER (PARTITION BY node ORDER BY edge_seq ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS l FROM bo),
-  rp AS (SELECT s.edge_seq, coalesce(s.l, []) AS a, coalesce(d.l, []) AS b FROM pa s JOIN pa d ON d.edge_seq = s.edge_seq AND d.en = 'd' WHERE s.en = 's')"""
+PARTNERS = SEQ + """, bo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node ORDER BY edge_seq) AS r FROM (SELECT src AS node, dst AS p, edge_seq, 's' AS en FROM seq UNION ALL SELECT dst, src, edge_seq, 'd' FROM seq)),
+  pa AS MATERIALIZED (SELECT x.edge_seq, x.en, coalesce(list(y.p ORDER BY y.r) FILTER (y.p IS NOT NULL), []) AS l FROM (SELECT edge_seq, en, node, r, unnest(range(r - 4, r)) AS t FROM bo) x LEFT JOIN bo y ON y.node = x.node AND y.r = x.t GROUP BY x.edge_seq, x.en),
+  rp AS (SELECT s.edge_seq, s.l AS a, d.l AS b FROM pa s JOIN pa d ON d.edge_seq = s.edge_seq AND d.en = 'd' WHERE s.en = 's')"""
 
 
 def recent(k: int, queries: str) -> str:
@@ -200,9 +202,9 @@ def recent(k: int, queries: str) -> str:
 
 
 NAIVE = DAILY + """, nn AS (SELECT date, count(DISTINCT x) AS num_nodes FROM (SELECT date, src AS x FROM daily UNION ALL SELECT date, dst FROM daily) GROUP BY date),
-  dd AS (SELECT date, count(*)::DOUBLE AS num_edges, any_value(num_nodes)::DOUBLE AS num_nodes FROM daily JOIN nn USING (date) GROUP BY date),
+  dd AS (SELECT date, count(*)::DOUBLE AS num_edges, any_value(num_nodes)::DOUBLE AS num_nodes, sum(sat)::BIGINT / 1e8 AS total_btc, round(sum(usd), 2) AS total_usd FROM daily JOIN nn USING (date) GROUP BY date),
   tt AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS t, count(*) OVER () AS n FROM dd),
-  s AS (SELECT 'num_edges' AS target, t, n, num_edges AS y FROM tt UNION ALL SELECT 'num_nodes', t, n, num_nodes FROM tt),
+  s AS (SELECT 'num_edges' AS target, t, n, num_edges AS y FROM tt UNION ALL SELECT 'num_nodes', t, n, num_nodes FROM tt UNION ALL SELECT 'total_btc', t, n, total_btc FROM tt UNION ALL SELECT 'total_usd', t, n, total_usd FROM tt),
   k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY t DESC) AS back FROM s WHERE t < floor(n * 0.8::DOUBLE)),
   f AS (SELECT target, max(y) FILTER (back = 1) AS p, avg(y) FILTER (back <= 7) AS m7, avg(y) FILTER (back <= 30) AS m30, max(t) AS last FROM k GROUP BY target),
   x AS (SELECT s.target, s.t, s.y, f.* EXCLUDE (target) FROM s JOIN f USING (target) WHERE s.t >= floor(n * 0.8::DOUBLE)),
@@ -211,9 +213,9 @@ NAIVE = DAILY + """, nn AS (SELECT date, count(DISTINCT x) AS num_nodes FROM (SE
 
 
 def oracle_sql() -> dict[str, str]:
-    corr = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM nf" for k, a in enumerate(FEATURES[:6]) for b in FEATURES[k + 1 : 6])
-    joint = ", ".join(f"CASE WHEN s.node_idx IS NOT NULL AND d.node_idx IS NOT NULL THEN {{x}}.{c} ELSE 0 END AS {{n}}_{c}" for c in ("log_in_degree", "recency"))
-    mix = lambda op, n: ", ".join(f"round(src_{c} {op} dst_{c}, 6) AS {n}_{c}" for c in ("log_in_degree", "recency"))
+    corr = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM nf" for k, a in enumerate(FEATURES) for b in FEATURES[k + 1 :])
+    joint = ", ".join(f"CASE WHEN s.node_idx IS NOT NULL AND d.node_idx IS NOT NULL THEN {{x}}.{c} ELSE 0 END AS {{n}}_{c}" for c in FEATURES)
+    mix = lambda op, n: ", ".join(f"round(src_{c} {op} dst_{c}, 6) + 0.0::DOUBLE AS {n}_{c}" for c in FEATURES)
     both = ", ".join(f"coalesce({t}.{c}, 0) AS {n}_{c}" for t, n in (("s", "src"), ("d", "dst")) for c in FEATURES)
     return {
         "stream_report": f"""WITH {PAY}, pr AS (SELECT DISTINCT src, dst FROM pay), nd AS (SELECT count(*) AS n FROM (SELECT src FROM pay UNION SELECT dst FROM pay)),
@@ -230,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
         "edge_positions": f"WITH {SEQ} SELECT edge_seq, ts AS timestamp, src AS src_idx, dst AS dst_idx, sat FROM seq",
         "bipartite_edges": f"WITH {PAY} SELECT src AS src_idx, dst + (SELECT max(src) + 1 FROM pay) AS dst_idx, ts AS timestamp, sat FROM pay",
         "dense_remap": f"WITH {PAY}, map AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT src AS id FROM pay UNION SELECT dst FROM pay)) SELECT a.k AS src_idx, b.k AS dst_idx, count(*) AS n FROM pay JOIN map a ON a.id = src JOIN map b ON b.id = dst GROUP BY ALL",
-        "dense_bundle": f"WITH {PAY}, seq AS (SELECT *, row_number() OVER (ORDER BY ts, src, dst, usd, sat) - 1 AS edge_seq FROM pay), few AS (SELECT * FROM seq WHERE edge_seq < 1000), map AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT src AS id FROM few UNION SELECT dst FROM few)), {node_features()} SELECT edge_seq, a.k AS src_idx, b.k AS dst_idx, log_in_degree FROM few JOIN map a ON a.id = src JOIN map b ON b.id = dst LEFT JOIN nf ON node_idx = src",
+        "dense_bundle": f"WITH {PAY}, seq AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, src, dst, usd, sat) - 1 AS edge_seq FROM pay), few AS (SELECT * FROM seq WHERE edge_seq < 1000), map AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT src AS id FROM few UNION SELECT dst FROM few)), {node_features()} SELECT edge_seq, a.k AS src_idx, b.k AS dst_idx, {", ".join(FEATURES)} FROM few JOIN map a ON a.id = src JOIN map b ON b.id = dst LEFT JOIN nf ON node_idx = src",
         "date_range_slice": f"WITH {PAY} SELECT src AS src_idx, dst AS dst_idx, ts AS timestamp, sat FROM pay WHERE {between('1996-01-01', '1996-03-31')}",
         "prefix_slice": f"WITH {SEQ} SELECT edge_seq, ts AS timestamp, sat FROM seq WHERE edge_seq < floor((SELECT count(*) FROM seq) * 0.1::DOUBLE)",
         "chrono_split": f"WITH {SPLIT} SELECT split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, sum(sat)::BIGINT AS sat FROM split GROUP BY split",
@@ -273,9 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "heuristics_over_days": f"WITH {DAY_EVAL} SELECT heuristic, count(*) AS days, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in ("mrr", "hits_1", "hits_3", "hits_10")) + " FROM hd GROUP BY heuristic",
         "snapshot_events": f"""WITH {DAILY}, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS day_idx FROM (SELECT DISTINCT date FROM daily)), b AS (SELECT day_idx AS timestamp, 0 AS dir, src AS src_idx, dst AS dst_idx, sat FROM daily JOIN days USING (date)
   UNION ALL SELECT day_idx, 1, dst, src, sat FROM daily JOIN days USING (date)) SELECT row_number() OVER (ORDER BY timestamp, dir, src_idx, dst_idx, sat) - 1 AS pos, * FROM b""",
-        "mean_daily_features": f"""WITH {DAILY}, f AS (SELECT date, node_idx, count(*) FILTER (o = 0) AS i, count(*) FILTER (o = 1) AS o, count(DISTINCT other) FILTER (o = 0) AS ui, count(DISTINCT other) FILTER (o = 1) AS uo
-  FROM (SELECT date, src AS node_idx, dst AS other, 1 AS o FROM daily UNION ALL SELECT date, dst, src, 0 FROM daily) GROUP BY date, node_idx)
-  SELECT node_idx, count(*) AS days, round(avg(i), 6) AS in_degree, round(avg(o), 6) AS out_degree, round(avg(ui), 6) AS unique_in, round(avg(uo), 6) AS unique_out FROM f GROUP BY node_idx""",
+        "mean_daily_features": f"SELECT node_idx, count(*) AS days, {', '.join(f'round(avg({c}) + 1e-9, 6) AS {c}' for c in DAILY_FEATURES)} FROM ({_daily_nodes()}) GROUP BY node_idx",
         "sliding_window_stream": "SELECT (floor(epoch(ts) / 86400) * 86400)::BIGINT - 86400 * k AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(0, 7) t(k) GROUP BY 1, 2",
         "session_stream": """WITH g AS (SELECT user_id, ts, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 1800000000, true) AS new FROM events),
   s AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""",
@@ -284,7 +284,7 @@ def oracle_sql() -> dict[str, str]:
         "pair_features_34": f"WITH {ASKED}, {pair_ctes('asked', 'train')}, {DIRECTED}, {node_features('train')} SELECT sc.a, sc.b, {both}, sc.cn AS cn_undir, sc.aa AS aa_undir, coalesce(x.cn, 0) AS cn_dir, round(coalesce(x.aa, 0), 6) AS aa_dir FROM sc LEFT JOIN dcom x USING (a, b) LEFT JOIN nf s ON s.node_idx = sc.a LEFT JOIN nf d ON d.node_idx = sc.b",
         "pair_features_extended": f"WITH {ASKED}, {node_features('train')}, j AS (SELECT a, b, {joint.format(x='s', n='src')}, {joint.format(x='d', n='dst')} FROM asked LEFT JOIN nf s ON s.node_idx = a LEFT JOIN nf d ON d.node_idx = b) SELECT *, {mix('-', 'diff')}, {mix('*', 'prod')} FROM j",
         "recent_neighbors": f"WITH {SPLIT}{PAST}, tq AS (SELECT * FROM split WHERE split = 'test'), {recent(20, 'tq')} SELECT query_id, pos, nbr, seq, age FROM nr",
-        "neighbor_features": f"WITH {SEQ}{PAST}, {recent(3, 'seq')}, {node_features()} SELECT query_id, pos, nbr, age, coalesce(log_in_degree, 0) AS log_in_degree, s.sat FROM nr JOIN seq s ON s.edge_seq = nr.seq LEFT JOIN nf ON nf.node_idx = nbr",
+        "neighbor_features": f"WITH {SEQ}{PAST}, {recent(3, 'seq')}, {node_features()} SELECT query_id, pos, nbr, age, {", ".join(f"coalesce({c}, 0) AS {c}" for c in FEATURES)}, s.sat FROM nr JOIN seq s ON s.edge_seq = nr.seq LEFT JOIN nf ON nf.node_idx = nbr",
         "recent_partners": f"WITH {PARTNERS} SELECT edge_seq, array_to_string(a, ',') AS src_past, array_to_string(b, ',') AS dst_past FROM rp",
         "neighbor_cooc": f"WITH {PARTNERS} SELECT edge_seq, len(list_intersect(a, b)) AS shared, array_to_string([len([y FOR y IN a IF y = x])::VARCHAR || '/' || len([y FOR y IN b IF y = x])::VARCHAR FOR x IN a], ',') AS counts FROM rp",
         "naive_forecasts": f"WITH {NAIVE} SELECT target, t, y, model, round(forecast, 6) AS forecast FROM o",

@@ -55,9 +55,9 @@ def dense_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = stored(payment_stream(spark, sf_dir))
-    few, nodes = tables.dense_bundle(edges, features.node_features(edges).select("node_idx", "log_in_degree"), 1000)
+    few, nodes = tables.dense_bundle(edges, features.node_features(edges), 1000)
     ends = few.select("edge_seq", "src_idx", "dst_idx")
-    return ends.join(nodes.withColumnRenamed("node_idx", "src_idx"), "src_idx", "left").select("edge_seq", "src_idx", "dst_idx", "log_in_degree")
+    return ends.join(nodes.withColumnRenamed("node_idx", "src_idx"), "src_idx", "left").select("edge_seq", "src_idx", "dst_idx", *features.STREAM_FEATURES)
 
 
 def date_range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +155,7 @@ def node_features_15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = stored(features.node_features(stored(payments(spark, sf_dir))))
-    return features.correlations(f, features.STREAM_FEATURES[:6]).select("a", "b", F.round("r", 4).alias("r"))
+    return features.correlations(f, features.STREAM_FEATURES).select("a", "b", F.round("r", 4).alias("r"))
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +238,8 @@ def snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily.mean_features(_daily(spark, sf_dir), ["in_degree", "out_degree", "unique_in", "unique_out"])
+    means = daily.mean_features(_daily(spark, sf_dir), features.DAILY_FEATURES)
+    return means.select("node_idx", "days", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in features.DAILY_FEATURES])  # no ties
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -265,8 +266,8 @@ def pair_features_34(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_features_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, train = _asked(spark, sf_dir)
     nodes = stored(features.node_features(train))
-    full = pairs.features_joint(asked, nodes, ["log_in_degree", "recency"], True)
-    return full.select("a", "b", *[F.round(c, 6).alias(c) for c in full.columns[2:]])
+    full = pairs.features_joint(asked, nodes, features.STREAM_FEATURES, True)
+    return full.select("a", "b", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in full.columns[2:]])  # no negative zeros
 
 
 def recent_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,8 +280,8 @@ def neighbor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = stored(payment_stream(spark, sf_dir))
     queries = edges.select(F.col("edge_seq").alias("query_id"), F.col("src_idx").alias("node"), F.col("timestamp").alias("ts"))
     rows = temporal.neighbor_rows(temporal.recent_neighbors(queries, temporal.events_of(edges), 3))
-    nodes = features.node_features(edges).select("node_idx", "log_in_degree")
-    return temporal.with_features(rows, nodes, edges, ["log_in_degree"], ["sat"]).select("query_id", "pos", "nbr", "age", "log_in_degree", "sat")
+    names = features.STREAM_FEATURES
+    return temporal.with_features(rows, features.node_features(edges), edges, names, ["sat"]).select("query_id", "pos", "nbr", "age", *names, "sat")
 
 
 def recent_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,12 +344,12 @@ def tppr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def naive_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = forecast.naive(_series(spark, sf_dir).where("target IN ('num_edges', 'num_nodes')"))
+    f = forecast.naive(_series(spark, sf_dir))
     return f.select("target", "t", "y", "model", F.round("forecast", 6).alias("forecast"))
 
 
 def ts_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = forecast.metrics(forecast.naive(_series(spark, sf_dir).where("target IN ('num_edges', 'num_nodes')")))
+    m = forecast.metrics(forecast.naive(_series(spark, sf_dir)))
     return m.select("target", "model", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "mape", "smape")])
 
 

@@ -52,13 +52,19 @@ def read_events(spark: SparkSession, path: str, files: int | None = None) -> Dat
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is there now, written to parquet by an availableNow run that could go on from its checkpoint."""
+    """All that is there now, written to parquet by an availableNow run that could go on from its checkpoint.
+
+    In complete mode each micro-batch holds the whole result, so the last one is what is read.
+    """
     spark = stream.sparkSession
-    base = work_dir(spark, name)
+    base, numbers = work_dir(spark, name), []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        numbers.append(number)
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows/*")
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows/batch={max(numbers)}" if mode == "complete" else f"{base}/rows/*")
