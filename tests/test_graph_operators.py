@@ -13,6 +13,7 @@ from tidegraph.functions.ordering import numbered
 from tidegraph.operators import candidates, features, forecast, graph, pairs, ranking, report, selection, temporal
 from tidegraph.plans import experiments
 from tidegraph.sources import tables
+from tidegraph.streaming import streams
 
 
 def stream(spark, rows):
@@ -202,6 +203,16 @@ def test_negatives(spark):
     assert max(sum((x.src, x.dst) == q for x in few) for q in pairs_[::4]) < 40
 
 
+def test_negatives_are_filled_where_nodes_are_left(spark):
+    """Nearly all nodes are positives of the only source: random draws miss the few that are allowed, the walk does not."""
+    allowed = {17, 905, 1999, 4000, 4500, 4999}
+    known = spark.createDataFrame([(0, k) for k in range(1, 5000) if k not in allowed], "src long, dst long")
+    nodes = spark.range(5000).withColumnRenamed("id", "node")
+    for n, want in ((4, 4), (6, 6), (20, 6)):
+        got = candidates.negatives(known.where("dst = 3"), known, known, nodes, n).collect()
+        assert len(got) == want and {x.cand for x in got} <= allowed and len({x.cand for x in got}) == want
+
+
 def test_ranks(spark):
     rows = [(1, 1, 10.0, 1), (1, 1, 5.0, 0), (1, 1, 3.0, 0), (2, 2, 1.0, 1), (2, 2, 5.0, 0), (2, 2, 3.0, 0), (2, 2, 10.0, 0), (3, 3, 5.0, 1), (3, 3, 5.0, 0), (3, 3, 5.0, 0)]
     frame = spark.createDataFrame(rows, "src long, dst long, s double, is_true int")
@@ -257,3 +268,23 @@ def test_experiments(spark, tmp_path):
     assert experiments.summary(str(tmp_path / "log")).count("\n") == 5
     with pytest.raises(ValueError):
         experiments.launch(edges, experiments.Spec(model="none"), str(tmp_path))
+
+
+def test_complete_streams_do_not_double_rows(spark, tmp_path):
+    import datetime
+
+    path = f"{tmp_path}/events.parquet"
+    day = lambda d, k: (k, k, datetime.datetime(2024, 1, d, k % 24), "buy", 1.0, '{"k": 1}')
+    schema = "event_id long, user_id long, ts timestamp, event_type string, value double, props string"
+    spark.createDataFrame([day(1, k) for k in range(5)], schema).coalesce(1).write.parquet(path)
+    spark.createDataFrame([day(d, k) for d in (1, 2) for k in range(5, 8)], schema).coalesce(1).write.mode("append").parquet(path)
+    found = streams.run_to_table(streams.daily_windows(streams.read_events(spark, path, 1)), "two-batches", "complete").collect()
+    assert sorted((x.window_start.day, x.n) for x in found) == [(1, 8), (2, 3)]
+
+
+def test_hub_links_fill_their_slots(spark):
+    rows = [(0, k, 1_000_000 + k, 10, 1.0) for k in range(1, 61) for _ in range(1 + k % 3)] + [(k, 0, 2_000_000, 10, 1.0) for k in range(1, 4)]
+    edges = spark.createDataFrame([(*r, r[3] / 1e8) for r in rows], "src_idx long, dst_idx long, timestamp long, sat long, usd double, btc double")
+    got = report.hub_links(edges).collect()
+    assert len(got) == 39 and sum(x.direction == "in" for x in got) == 3 and {x.hub for x in got} == {0}
+    assert sum(x.event_count == 3 for x in got) == 20 and len(report.hub_links(edges, 40, 21).collect()) == 21

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.selection import nodes_of
@@ -108,13 +108,19 @@ def top_subgraph(edges: DataFrame, k: int = 30) -> DataFrame:
 
 
 def hub_links(edges: DataFrame, max_nodes: int = 40, max_edges: int = 60) -> DataFrame:
-    """The busiest node and its most frequent links in and out, a limited number of each."""
-    cap = max(1, min(max_edges // 2, (max_nodes - 1) // 2, 10))
+    """The busiest node and its most frequent links: some of each direction, then the most frequent of the rest, inbound first.
+
+    Of each direction only the max_nodes - 1 most frequent links can take part, so the choice is made among few rows.
+    """
+    slots = max(0, max_nodes - 1)
+    cap = max(1, min(max_edges // 2, slots // 2, 10))
     hub = top_nodes(edges, 1).select(F.col("node").alias("hub"))
-    pairs = pair_rollup(edges).crossJoin(F.broadcast(hub))
-    links = lambda near, far, name: pairs.where(F.col(near) == F.col("hub")).orderBy(F.desc("event_count"), far).limit(cap).withColumn("direction", F.lit(name))
+    pairs = pair_rollup(edges).where("src_idx <> dst_idx").crossJoin(F.broadcast(hub))
+    links = lambda near, far, name: pairs.where(F.col(near) == F.col("hub")).orderBy(F.desc("event_count"), far).limit(slots).select("hub", F.lit(name).alias("direction"), "src_idx", "dst_idx", "event_count", F.col(far).alias("other"))
     both = links("src_idx", "dst_idx", "out").unionByName(links("dst_idx", "src_idx", "in"))
-    return both.select("hub", "direction", "src_idx", "dst_idx", "event_count")
+    ranked = both.withColumn("later", F.row_number().over(Window.partitionBy("direction").orderBy(F.desc("event_count"), "other")) > cap)
+    kept = ranked.orderBy("later", F.desc("event_count"), "direction", "other").limit(slots)
+    return kept.orderBy(F.desc("event_count"), "src_idx", "dst_idx").limit(max_edges).select("hub", "direction", "src_idx", "dst_idx", "event_count")
 
 
 def format_report(row) -> str:

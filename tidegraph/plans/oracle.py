@@ -249,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "value_histogram": f"WITH {PAY}, x AS (SELECT round(log10(btc + 1e-10), 9) AS x FROM pay), r AS (SELECT min(x) AS a, max(x) AS b FROM x) SELECT least(79, floor((x - a) / ((b - a) / 80)))::BIGINT AS bin, count(*) AS n FROM x, r GROUP BY 1",
         "entity_overlap": f"WITH {DAILY}, e AS (SELECT date, src AS node FROM daily UNION ALL SELECT date, dst FROM daily), s AS (SELECT node, max((date = DATE '1996-01-02')::INT) AS a, max((date = DATE '1996-01-03')::INT) AS b FROM e WHERE date IN (DATE '1996-01-02', DATE '1996-01-03') GROUP BY node) SELECT sum(a * b)::BIGINT AS both, sum(a * (1 - b))::BIGINT AS only_first, sum((1 - a) * b)::BIGINT AS only_second FROM s",
         "topk_subgraph": f"WITH {PAY}, t AS (SELECT node FROM (SELECT src AS node FROM pay UNION ALL SELECT dst FROM pay) GROUP BY node ORDER BY count(*) DESC, node LIMIT 30) SELECT src AS src_idx, dst AS dst_idx, count(*) AS event_count FROM pay WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t) GROUP BY ALL",
-        "hub_projection": f"WITH {PAY}, h AS (SELECT node AS hub FROM (SELECT src AS node FROM pay UNION ALL SELECT dst FROM pay) GROUP BY node ORDER BY count(*) DESC, node LIMIT 1), p AS (SELECT src, dst, count(*) AS c FROM pay GROUP BY ALL), o AS (SELECT hub, 'out' AS direction, src, dst, c FROM p, h WHERE src = hub ORDER BY c DESC, dst LIMIT 10), i AS (SELECT hub, 'in' AS direction, src, dst, c FROM p, h WHERE dst = hub ORDER BY c DESC, src LIMIT 10) SELECT hub, direction, src AS src_idx, dst AS dst_idx, c AS event_count FROM o UNION ALL SELECT * FROM i",
+        "hub_projection": f"WITH {PAY}, h AS (SELECT node AS hub FROM (SELECT src AS node FROM pay UNION ALL SELECT dst FROM pay) GROUP BY node ORDER BY count(*) DESC, node LIMIT 1), p AS (SELECT src, dst, count(*) AS c FROM pay GROUP BY ALL), l AS (SELECT hub, 'out' AS direction, src, dst, c, dst AS other FROM p, h WHERE src = hub UNION ALL SELECT hub, 'in', src, dst, c, src FROM p, h WHERE dst = hub), r AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY c DESC, other) > 10 AS later FROM l), k AS (SELECT * FROM r ORDER BY later, c DESC, direction, other LIMIT 39) SELECT hub, direction, src AS src_idx, dst AS dst_idx, c AS event_count FROM k ORDER BY c DESC, src, dst LIMIT 60",
         "value_transforms": "SELECT event_id, round(sign(value) * ln(1 + abs(value)), 6) AS slog, round(ln(1 + greatest(value, 0)), 6) AS log FROM events",
         "time_encodings": "WITH t AS (SELECT event_id, (epoch(ts)::BIGINT % 86400)::DOUBLE AS t FROM events) SELECT event_id, round(cos(t), 6) AS e0, round(cos(t * pow(10.0::DOUBLE, -3.0::DOUBLE)), 6) AS e1, round(cos(t * pow(10.0::DOUBLE, -6.0::DOUBLE)), 6) AS e2, round(cos(t * pow(10.0::DOUBLE, -9.0::DOUBLE)), 6) AS e3 FROM t".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"),
         "node_features_15": f"WITH {PAY}, {node_features()} SELECT * FROM nf",
