@@ -95,11 +95,14 @@ def daily_node_features(daily: DataFrame) -> DataFrame:
 
 
 def gini(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Gini coefficient of a value in each group; 0 where the sum is 0."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.withColumn("__i", F.row_number().over(w))
-    n, total = F.count(F.lit(1)), F.sum(value)
-    return ranked.groupBy(*by).agg(F.when(total > 0, 2 * F.sum(F.col("__i") * F.col(value)) / (n * total) - (n + 1) / n).otherwise(F.lit(0.0)).alias("gini"))
+    """Gini coefficient of a value in each group; 0 where the sum is 0. Equal values are counted before they are sorted."""
+    counted = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the ranks of c equal values add up to this
+    ranks = F.col("c") * before + F.col("c") * (F.col("c") + 1) / 2
+    summed = counted.withColumn("ranks", ranks).groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col(value) * F.col("c")).alias("total"), F.sum(F.col("ranks") * F.col(value)).alias("top"))
+    n, total = F.col("n"), F.col("total")
+    return summed.select(*by, F.when(total > 0, 2 * F.col("top") / (n * total) - (n + 1) / n).otherwise(F.lit(0.0)).alias("gini"))
 
 
 def daily_graph_features(daily: DataFrame) -> DataFrame:

@@ -271,6 +271,7 @@ def oracle_sql() -> dict[str, str]:
   JOIN (SELECT date, count(*) AS num_wcc, max(n) AS largest_wcc, round(max(n) / sum(n), 6) AS wcc_fraction FROM ws GROUP BY date) USING (date)
   JOIN (SELECT date, count(*) AS num_scc, max(n) AS largest_scc, round(max(n) / sum(n), 6) AS scc_fraction FROM ss GROUP BY date) USING (date)""",
         "daily_pagerank": daily_pagerank(5),
+        "daily_pagerank_gini": f"SELECT date, round(2 * sum(i * rank) / (count(*) * sum(rank)) - (count(*) + 1) / count(*) + 1e-9, 6) AS gini FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY rank) AS i FROM ({daily_pagerank(5)})) GROUP BY date",
         "daily_heuristics": f"WITH {DAY_EVAL} SELECT date::VARCHAR AS date, * EXCLUDE date FROM hd",
         "heuristics_over_days": f"WITH {DAY_EVAL} SELECT heuristic, count(*) AS days, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in ("mrr", "hits_1", "hits_3", "hits_10")) + " FROM hd GROUP BY heuristic",
         "snapshot_events": f"""WITH {DAILY}, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS day_idx FROM (SELECT DISTINCT date FROM daily)), b AS (SELECT day_idx AS timestamp, 0 AS dir, src AS src_idx, dst AS dst_idx, sat FROM daily JOIN days USING (date)

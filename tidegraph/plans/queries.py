@@ -221,6 +221,12 @@ def daily_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated(daily.daily_pagerank(_daily(spark, sf_dir), rounds=5, tolerance=None)).withColumn("rank", F.round("rank", 8))
 
 
+def daily_pagerank_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How unequal the nodes of a day are by PageRank."""
+    ranked = stored(daily_pagerank(spark, sf_dir))
+    return features.gini(ranked, "rank", ["date"]).select("date", F.round(F.col("gini") + 1e-9, 6).alias("gini"))  # no ties
+
+
 def daily_pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated(daily.daily_pagerank(_daily(spark, sf_dir))).withColumn("rank", F.round("rank", 8))
 
@@ -400,7 +406,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     pair_features_34, pair_features_extended, recent_neighbors, neighbor_features, recent_partners, neighbor_cooc, relational_vectors, eval_candidates, train_negatives,
     rank_conservative, rank_mean_tie, heuristic_ranking, tppr_state, naive_forecasts, ts_metrics, fitted_forecasts,
     logreg_ranking, forest_ranking, boosting_ranking, pairwise_ranking, daily_window_stream, sliding_window_stream, session_stream, partner_state_stream,
-    daily_topology, daily_structure, daily_pagerank, daily_pagerank_converged, daily_heuristics, heuristics_over_days, snapshot_events, mean_daily_features, tppr_scores,
+    daily_topology, daily_structure, daily_pagerank, daily_pagerank_gini, daily_pagerank_converged, daily_heuristics, heuristics_over_days, snapshot_events, mean_daily_features, tppr_scores,
 ]
 
 
