@@ -95,3 +95,23 @@ def test_every_licence_of_a_long_notices_file_is_found(spark):
     rows = [(1, notices)] + [(k, "licensed under a gnu general public license") for k in range(10, 40)]
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].split(",") == sorted({label for label, _ in licenses.TEMPLATES}) and got[10] == ""
+
+
+def test_exact_state_is_hit_over_micro_batches(spark):
+    rows = [(k, f"text {k % 7}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, F.col("doc_id"), batch_bytes=1).collect()}
+    most = {k % 7: k for k in range(40)}
+    assert got == {k: (most[k % 7], sum(j % 7 == k % 7 for j in range(40)), most[k % 7] == k) for k in range(40)}
+
+
+def test_names_and_settings_are_left_alone(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.createDataFrame([(1, "a b c", 5, 6, 7, 8), (2, "A b c", 5, 6, 7, 8)], "doc_id long, text string, text_ int, score_ int, locator_ int, gone_ int").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "not there at all")], "item_id long, text string")
+    for found, n in ((toxicity.without_toxic(docs, labels), 2), (exact_dedup.drop_copies(docs), 1), (simhash.one_of_each(docs), 1), (decontamination.without_contaminated(docs, bench), 2)):
+        assert found.columns == docs.columns and [tuple(x)[2:] for x in found.collect()] == [(5, 6, 7, 8)] * n
+    assert spark.conf.get(key) == before
