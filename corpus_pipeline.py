@@ -47,7 +47,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: SQL has neither the model nor the tokenizer; the tests hold each stage against a plain version.
+#: SQL has neither the model nor the tokenizer. The tests of the operators hold them against plain versions, toxicity against labels.
 ORACLE_SQL = None
 
 
