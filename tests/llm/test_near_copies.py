@@ -63,3 +63,32 @@ def test_stage_removes_near_copies_of_distant_fingerprints(spark):
     docs = spark.createDataFrame([*given, (None, given[0][1])], "doc_id long, text string")
     got = {x.doc_id for x in corpus_pipeline.without_near_copies(spark, docs, "").collect()}
     assert got - {None} == set(range(0, 60, 2))
+
+
+def test_sketches_never_differ_in_more_than_the_sets():
+    r = random.Random(14)
+    for n in (1, 5, 60, 400, 3000):
+        words = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+        a, b = (near_copies.grams(edited(r, words, r.randint(0, n // 8))) for _ in range(2))
+        differ = sum(int(x).bit_count() for x in (near_copies.sketch(a) ^ near_copies.sketch(b)).view("uint64"))
+        assert differ <= len(set(a.tolist()) ^ set(b.tolist()))
+        if similarity(set(a.tolist()), set(b.tolist())) >= 0.8:
+            assert near_copies.may_differ(len(a), len(b), differ)
+
+
+def test_large_group_is_linked_through_leaders(spark):
+    """Copies of one text that are often too far from one another; chains of them count, and no pair of them is met late."""
+    r = random.Random(13)
+    words = [f"w{k}" for k in range(150)]
+    given = [(k, edited(r, words, 2)) for k in range(150)] + [(200 + k, " ".join([*words[:40], *(f"y{r.randint(0, 10**6)}" for _ in range(110))])) for k in range(40)]
+    sets = {k: shingles(t) for k, t in given}
+    low = {k: k for k in sets}
+    for _ in range(10):
+        for a in sets:
+            for b in sets:
+                if similarity(sets[a], sets[b]) >= 0.8:
+                    low[a] = low[b] = min(low[a], low[b])
+    docs = spark.createDataFrame(given, "id long, text string").repartition(5)
+    for hot_roots in (1, 8, 10**6):
+        got = {x.node: x.root for x in near_copies.groups(docs, 16, 1, hot_roots).collect()}
+        assert {k: v for k, v in got.items() if k != v} == {k: v for k, v in low.items() if k != v}

@@ -3,14 +3,18 @@
 A text is the set of its five-word shingles (64-bit hashes). Shingles are put in one order for all texts, rare ones
 first; two texts that are similar enough then share a shingle among the first fifth of each (prefix filter), so every
 such pair meets in the cell of a shingle. Pairs are left out that sizes, places and the number of first shingles they
-share rule out: whatever else they share stands behind the last of these in both. The others are compared by their
-whole sets. Nothing is estimated: the order comes from a sample, but any order gives the same pairs.
+share rule out: whatever else they share stands behind the last of these in both. So are pairs whose sketches differ
+too much: a sketch has a bit for the parity of the shingles in each of SKETCH parts of the hashes, so two sets differ in
+at least as many shingles as their sketches in bits. The others are compared by their whole sets. Nothing is estimated: the order comes from a sample, but any order gives the same pairs.
 
 Scale: a text leaves a row for a fifth of its shingles, and only cells with two texts or more go on. First every text
-is held against one leader of one of its cells, for a few rounds; a large group of copies is then one component, at a
+is held against one leader of one of its cells. While cells hold over HOT_ROOTS components, their texts are then held
+against LEADERS of them a round, for as long as that links them; a large group of copies is then one component, at a
 cost in proportion to its rows. Only pairs in a cell whose texts are not yet linked are met after that, and all of them
-are. A cell that is hot all the same is cut into blocks, and pairs of blocks are met in separate tasks. What is
-broadcast is the COMMON most frequent shingles of a sample, which only order shingles.
+are: unlike texts that share a rare shingle still cost the square of their number in comparisons of sketches, though
+not in rows. A cell that is hot all the same is
+cut into blocks, and pairs of blocks are met in separate tasks. What is broadcast is the COMMON most frequent shingles
+of a sample, which only order shingles.
 
 Defined results: null text is empty; texts without words are equal; fewer words than a shingle make one shingle. A
 row without an id can't be told from others without one, and stays.
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import free_name, in_workers, release, stored, text_batches, text_of, work_dir
@@ -34,6 +38,11 @@ OVER, UNDER = 4, 5
 SAMPLE_DOCS, COMMON = 5_000, 100_000
 CELL_ROWS = 1024
 STAR_ROUNDS = 1
+#: Cells with more components than this are held against so many leaders a round; rounds end when one links under a tenth.
+HOT_ROOTS, LEADERS = 24, 4
+#: Bits of a sketch, a multiple of 64.
+SKETCH = 256
+WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
 
 def grams(text: str) -> np.ndarray:
@@ -52,6 +61,23 @@ def _grams(docs: DataFrame) -> DataFrame:
     return in_workers(docs, work, "id long, grams array<long>")
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each part, as SKETCH / 64 words."""
+    parts = np.bincount(own.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH)
+    return np.packbits((parts & 1).astype(np.uint8)).view(np.int64)
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """id and the words of the sketch of docs (id, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([sketch(grams(t.as_py())) for t in b.column("text")], np.int64).reshape(-1, len(WORDS))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x) for x in found.T)], names=["id", *WORDS])
+
+    return in_workers(docs, work, "id long, " + ", ".join(f"{w} long" for w in WORDS))
+
+
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of a sample, sorted, and how many of its texts have them."""
     n = max(1, docs.count())
@@ -94,6 +120,11 @@ def may_be_similar(n_a, n_b, at_a, at_b):
     return (OVER + UNDER) * np.minimum(most, np.minimum(n_a, n_b)) >= OVER * (n_a + n_b)
 
 
+def may_differ(n_a, n_b, bits):
+    """Whether texts of n_a and n_b shingles that differ in so many shingles, or more, can be similar enough."""
+    return (OVER + UNDER) * bits <= (UNDER - OVER) * (n_a + n_b)
+
+
 def _still_may(n_u: str, n_v: str) -> Column:
     """The same of pairs that share `c` first shingles, the last of them at at_u and at_v.
 
@@ -114,6 +145,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.stack([t.column(c).to_numpy() for c in ("gram", "x", "y")])
         ids, n, place, side, root = (t.column(c).to_numpy() for c in ("id", "n", "place", "side", "root"))
         n, place = n.astype(np.int64), place.astype(np.int64)
+        bits = [t.column(w).to_numpy() for w in WORDS]
         first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
         sizes = np.diff(np.append(first, len(ids)))
         end = np.repeat(first + sizes, sizes)
@@ -123,6 +155,9 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = rows, rows + d
             near = may_be_similar(n[a], n[b], place[a], place[b]) & (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 2))
             a, b = a[near], b[near]
+            differ = sum(np.bitwise_count((w[a] ^ w[b]).view(np.uint64)).astype(np.int64) for w in bits)
+            near = may_differ(n[a], n[b], differ)
+            a, b = a[near], b[near]
             u, v = np.where(ids[a] > ids[b], a, b), np.where(ids[a] > ids[b], b, a)
             found.append(np.stack([ids[u], ids[v], n[u], n[v], place[u], place[v]]))
             if sum(x.shape[1] for x in found) > 500_000:
@@ -182,12 +217,39 @@ def star(found: DataFrame, k: int) -> DataFrame:
     return stored(one.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), work_dir(spark, "near-star"))
 
 
-def candidates(found: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+def hot_rows(left: DataFrame, hot_roots: int = HOT_ROOTS) -> tuple[DataFrame, int]:
+    """The rows of cells with more than hot_roots components, and the number of components summed over these cells."""
+    spark = left.sparkSession
+    hot = left.select("gram", "root").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("roots")).where(F.col("roots") > hot_roots)
+    hot = stored(hot, work_dir(spark, "near-hot-roots"))
+    return left.join(hot.select("gram"), "gram"), hot.agg(F.coalesce(F.sum("roots"), F.lit(0))).first()[0]
+
+
+def led(rows: DataFrame, k: int, leaders: int = LEADERS) -> DataFrame:
+    """u > v: each text with those of the leaders of its cells, of another component, that it shares most cells with.
+
+    At most `leaders` a text; other leaders in each round k. What is left out here is met by `candidates`.
+    """
+    spark = rows.sparkSession
+    rows = stored(rows.select("gram", "id", "root"), work_dir(spark, "near-hot-rows"))
+    by_hash = Window.partitionBy("gram").orderBy(F.xxhash64("id", F.lit(k)), "id")
+    lead = rows.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= leaders).select("gram", F.col("id").alias("v"), F.col("root").alias("other"))
+    met = rows.withColumnRenamed("id", "u").join(stored(lead, work_dir(spark, "near-hot-leaders")), "gram").where("root <> other")
+    met = stored(met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")), work_dir(spark, "near-hot-met"))
+    most = Window.partitionBy("u").orderBy(F.desc("c"), "v")
+    kept = met.withColumn("at", F.row_number().over(most)).where(F.col("at") <= leaders)
+    return stored(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), work_dir(spark, "near-hot-pairs"))
+
+
+def candidates(found: DataFrame, docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Distinct pairs u > v of ids that share a cell and may be similar enough; all that are, are among them."""
     spark = found.sparkSession
+    ids = found.select("id").distinct()
+    sketches = stored(_sketches(docs.join(ids, "id", "left_semi")), sketch_path := work_dir(spark, "near-sketches"))
+    found = found.join(sketches, "id")
     hot = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > cell_rows)
     hot = stored(hot.select("gram", F.ceil(F.col("m") / cell_rows).cast("int").alias("k")), hot_path := work_dir(spark, "near-hot"))
-    columns = ("id", "n", "place", "root")
+    columns = ("id", "n", "place", "root", *WORDS)
     none = F.lit(0)
     if hot.isEmpty():
         dealt = found.select("gram", none.alias("x"), none.alias("y"), F.lit(2).alias("side"), *columns)
@@ -205,7 +267,7 @@ def candidates(found: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     pairs = met.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"), at.alias("at"))
     pairs = pairs.select("u", "v", "c", "n_u", "n_v", "at.at_u", "at.at_v").where(_still_may("n_u", "n_v"))
     out = stored(pairs.select("u", "v"), work_dir(spark, "near-pairs"))
-    release(spark, hot_path)
+    release(spark, hot_path, sketch_path)
     return out
 
 
@@ -218,27 +280,36 @@ def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where((OVER + UNDER) * shared >= OVER * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def groups(docs: DataFrame, cell_rows: int = CELL_ROWS, rounds: int = STAR_ROUNDS) -> DataFrame:
+def groups(docs: DataFrame, cell_rows: int = CELL_ROWS, rounds: int = STAR_ROUNDS, hot_roots: int = HOT_ROOTS) -> DataFrame:
     """node, root: the smallest id that each id with a near copy is linked to. Of docs (id, text), ids unique."""
     spark = docs.sparkSession
-    found, links = cells(docs), None
-    left = found.withColumn("root", F.col("id"))
-    for k in range(rounds + 1):
-        last = k == rounds
-        pairs = candidates(left, cell_rows) if last else star(left, k)
-        if pairs.isEmpty() and last:
-            break
+    found, links, base = cells(docs), None, work_dir(spark, "near-rounds")
+    left, before, k = found.withColumn("root", F.col("id")), None, 0
+
+    def linked(pairs: DataFrame) -> DataFrame:
         near = similar(pairs, docs)
-        links = stored(near if links is None else links.unionByName(near), work_dir(spark, "near-links"))
-        if last:
-            break
-        roots = stored(components(links), work_dir(spark, "near-roots"))
+        return stored(near if links is None else links.unionByName(near), f"{base}/links-{k}")
+
+    def still_open() -> DataFrame:
+        """The rows of cells with two components or more."""
+        roots = stored(components(links), f"{base}/roots-{k}")
         rooted = found.join(roots, found["id"] == roots["node"], "left").select(*found.columns, F.coalesce("root", "id").alias("root"))
-        rooted = stored(rooted, work_dir(spark, "near-rooted"))
-        open_cells = rooted.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
-        left = stored(rooted.join(stored(open_cells, work_dir(spark, "near-open")), "gram"), work_dir(spark, "near-left"))
-        release(spark)
-    return components(links if links is not None else pairs)
+        rooted = stored(rooted, f"{base}/rooted-{k}")
+        cells_left = rooted.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
+        out = stored(rooted.join(stored(cells_left, f"{base}/open-{k}"), "gram"), f"{base}/left-{k}")
+        release(spark, *(f"{base}/{x}-{k}" for x in ("roots", "rooted", "open")), f"{base}/left-{k - 1}")
+        return out
+
+    while k < rounds:
+        links = linked(star(left, k))
+        left, k = still_open(), k + 1
+    while True:
+        hot, now = hot_rows(left, hot_roots)
+        if not now or before is not None and 10 * now > 9 * before:
+            break
+        links = linked(led(hot, k))
+        left, k, before = still_open(), k + 1, now
+    return components(linked(candidates(left, docs, cell_rows)))
 
 
 def one_of_each(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
