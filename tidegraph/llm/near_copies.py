@@ -231,14 +231,17 @@ def led(rows: DataFrame, k: int, leaders: int = LEADERS) -> DataFrame:
     At most `leaders` a text; other leaders in each round k. What is left out here is met by `candidates`.
     """
     spark = rows.sparkSession
-    rows = stored(rows.select("gram", "id", "root"), work_dir(spark, "near-hot-rows"))
+    base = work_dir(spark, "near-hot")
+    rows = stored(rows.select("gram", "id", "root"), f"{base}/rows")
     by_hash = Window.partitionBy("gram").orderBy(F.xxhash64("id", F.lit(k)), "id")
     lead = rows.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= leaders).select("gram", F.col("id").alias("v"), F.col("root").alias("other"))
-    met = rows.withColumnRenamed("id", "u").join(stored(lead, work_dir(spark, "near-hot-leaders")), "gram").where("root <> other")
-    met = stored(met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")), work_dir(spark, "near-hot-met"))
+    met = rows.withColumnRenamed("id", "u").join(stored(lead, f"{base}/leaders"), "gram").where("root <> other")
+    met = stored(met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")), f"{base}/met")
     most = Window.partitionBy("u").orderBy(F.desc("c"), "v")
     kept = met.withColumn("at", F.row_number().over(most)).where(F.col("at") <= leaders)
-    return stored(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), work_dir(spark, "near-hot-pairs"))
+    out = stored(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), work_dir(spark, "near-hot-pairs"))
+    release(spark, base)
+    return out
 
 
 def candidates(found: DataFrame, docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -271,10 +274,10 @@ def candidates(found: DataFrame, docs: DataFrame, cell_rows: int = CELL_ROWS) ->
     return out
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar enough, by their whole sets."""
+def similar(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+    """The pairs whose texts are similar enough, by their whole sets, which are kept at path."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = stored(_grams(docs.join(ids, "id", "left_semi")), work_dir(docs.sparkSession, "near-sets"))
+    sets = stored(_grams(docs.join(ids, "id", "left_semi")), path)
     both = pairs.join(sets.withColumnsRenamed({"id": "u", "grams": "a"}), "u").join(sets.withColumnsRenamed({"id": "v", "grams": "b"}), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where((OVER + UNDER) * shared >= OVER * (F.size("a") + F.size("b"))).select("u", "v")
@@ -287,13 +290,17 @@ def groups(docs: DataFrame, cell_rows: int = CELL_ROWS, rounds: int = STAR_ROUND
     left, before, k = found.withColumn("root", F.col("id")), None, 0
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = similar(pairs, docs)
-        return stored(near if links is None else links.unionByName(near), f"{base}/links-{k}")
+        near = similar(pairs, docs, f"{base}/sets-{k}")
+        out = stored(near if links is None else links.unionByName(near), f"{base}/links-{k}")
+        release(spark, f"{base}/sets-{k}", f"{base}/links-{k - 1}")
+        return out
 
     def still_open() -> DataFrame:
         """The rows of cells with two components or more."""
         roots = stored(components(links), f"{base}/roots-{k}")
-        rooted = found.join(roots, found["id"] == roots["node"], "left").select(*found.columns, F.coalesce("root", "id").alias("root"))
+        # cells that were closed once stay so: links only join components
+        rows = left.drop("root")
+        rooted = rows.join(roots, rows["id"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "id").alias("root"))
         rooted = stored(rooted, f"{base}/rooted-{k}")
         cells_left = rooted.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("gram")
         out = stored(rooted.join(stored(cells_left, f"{base}/open-{k}"), "gram"), f"{base}/left-{k}")
