@@ -92,3 +92,21 @@ def test_large_group_is_linked_through_leaders(spark):
     for hot_roots in (1, 8, 10**6):
         got = {x.node: x.root for x in near_copies.groups(docs, 16, 1, hot_roots).collect()}
         assert {k: v for k, v in got.items() if k != v} == {k: v for k, v in low.items() if k != v}
+
+
+def test_long_sketches_rule_out_what_short_ones_leave(spark):
+    """Long texts differ in more shingles than a short sketch has bits: the long one tells them, and none that are similar."""
+    r = random.Random(15)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(3000)]
+    given = [(k, edited(r, words, n)) for k, n in enumerate((20, 20, 20, 400, 400, 900))]
+    sets = {k: near_copies.grams(t) for k, t in given}
+    for own in sets.values():
+        long = near_copies.long_sketch(own)
+        assert len(long) * 8 >= 2 * len(own) and (near_copies.folded(long, 32).view("int64") == near_copies.sketch(own)).all()
+    docs = spark.createDataFrame(given, "id long, text string")
+    _, sketches = near_copies.cells(docs)
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in range(a)], "u long, v long")
+    left = {(x.u, x.v) for x in near_copies.close(pairs, sketches).collect()}
+    alike = {(a, b) for a in sets for b in range(a) if similarity(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8}
+    assert alike <= left and (4, 3) not in left and (5, 0) not in left
+    assert {(x.u, x.v) for x in near_copies.similar(pairs, docs).collect()} == alike

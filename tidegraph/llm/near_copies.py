@@ -5,7 +5,9 @@ first; two texts that are similar enough then share a shingle among the first fi
 such pair meets in the cell of a shingle. Pairs are left out that sizes, places and the number of first shingles they
 share rule out: whatever else they share stands behind the last of these in both. So are pairs whose sketches differ
 too much: a sketch has a bit for the parity of the shingles in each of SKETCH parts of the hashes, so two sets differ in
-at least as many shingles as their sketches in bits. The others are compared by their whole sets. Nothing is estimated: the order comes from a sample, but any order gives the same pairs.
+at least as many shingles as their sketches in bits. Each text has one sketch of at least two bits a shingle, which is
+folded where shorter ones do. The others are compared by their whole sets, made from the texts where they meet: texts
+are shorter than sets and are sent once a pair. Nothing is estimated: the order comes from a sample, but any order gives the same pairs.
 
 Scale: a text leaves a row for a fifth of its shingles, and only cells with two texts or more go on. First every text
 is held against one leader of one of its cells. While cells hold over HOT_ROOTS components, their texts are then held
@@ -40,7 +42,9 @@ CELL_ROWS = 1024
 STAR_ROUNDS = 1
 #: Cells with more components than this are held against so many leaders a round; rounds end when one links under a tenth.
 HOT_ROOTS, LEADERS = 24, 4
-#: Bits of a sketch, a multiple of 64.
+#: So many of a text's leaders, the closest by their sketches, are compared with it in a round.
+CLOSEST = 2
+#: Bits of a short sketch, a power of two and a multiple of 64.
 SKETCH = 256
 WORDS = [f"s{k}" for k in range(SKETCH // 64)]
 
@@ -61,21 +65,36 @@ def _grams(docs: DataFrame) -> DataFrame:
     return in_workers(docs, work, "id long, grams array<long>")
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """The parity of the number of shingles in each part, as SKETCH / 64 words."""
-    parts = np.bincount(own.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH)
+def sketch(own: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """The parity of the number of shingles in each part, as words of 64 bits."""
+    parts = np.bincount((own.view(np.uint64) % np.uint64(bits)).view(np.int64), minlength=bits)
     return np.packbits((parts & 1).astype(np.uint8)).view(np.int64)
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """id and the words of the sketch of docs (id, text)."""
+def long_sketch(own: np.ndarray) -> bytes:
+    """A sketch of at least two bits a shingle."""
+    return sketch(own, max(SKETCH, 1 << (2 * len(own) - 1).bit_length())).tobytes()
+
+
+def folded(long: bytes, size: int) -> np.ndarray:
+    """The sketch of `size` bytes that a longer one holds: the parts of both are remainders by powers of two."""
+    return np.bitwise_xor.reduce(np.frombuffer(long, np.uint8).reshape(-1, size), axis=0)
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
+def _short(sketches: DataFrame) -> DataFrame:
+    """id and the words of the short sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([sketch(grams(t.as_py())) for t in b.column("text")], np.int64).reshape(-1, len(WORDS))
+            found = np.array([folded(x.as_py(), SKETCH // 8) for x in b.column("sketch")], np.uint8).reshape(-1, SKETCH // 8).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x) for x in found.T)], names=["id", *WORDS])
 
-    return in_workers(docs, work, "id long, " + ", ".join(f"{w} long" for w in WORDS))
+    return in_workers(sketches.select("id", "sketch"), work, "id long, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -109,9 +128,15 @@ def _prefixes(docs: DataFrame, sent) -> DataFrame:
                 np.repeat(np.array([len(s) for s in sets], np.int32), sizes),
                 np.concatenate([*(np.arange(k, dtype=np.int32) for k in sizes), np.zeros(0, np.int32)]),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "id", "n", "place"])
+            long = [long_sketch(s) for s in sets]
+            # with a text's first row, empty in the others
+            lengths = np.zeros(sum(sizes), np.int32)
+            lengths[np.cumsum([0, *sizes])[:-1]] = [len(x) for x in long]
+            ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(lengths, dtype=np.int32)])
+            sketches = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(long))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), sketches], names=["gram", "id", "n", "place", "sketch"])
 
-    return in_workers(docs, work, "gram long, id long, n int, place int")
+    return in_workers(docs, work, "gram long, id long, n int, place int, sketch binary")
 
 
 def may_be_similar(n_a, n_b, at_a, at_b):
@@ -193,15 +218,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
 
-def cells(docs: DataFrame) -> DataFrame:
-    """gram, id, n, place of the first shingles that two texts or more have among their first."""
+def cells(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """gram, id, n, place of the first shingles that two texts or more have among their first; id, n, sketch of each text."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(_common(docs))
     rows = stored(_prefixes(docs, sent), path := work_dir(spark, "near-prefixes"))
     again = stored(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram"), again_path := work_dir(spark, "near-again"))
-    out = stored(rows.join(again, "gram"), work_dir(spark, "near-cells"))
+    out = stored(rows.select("gram", "id", "n", "place").join(again, "gram"), work_dir(spark, "near-cells"))
+    sketches = stored(rows.where("place = 0").select("id", "n", "sketch"), work_dir(spark, "near-sketches"))
     release(spark, path, again_path)
-    return out
+    return out, sketches
 
 
 def star(found: DataFrame, k: int) -> DataFrame:
@@ -226,7 +252,7 @@ def hot_rows(left: DataFrame, hot_roots: int = HOT_ROOTS) -> tuple[DataFrame, in
 
 
 def led(rows: DataFrame, k: int, leaders: int = LEADERS) -> DataFrame:
-    """u > v: each text with those of the leaders of its cells, of another component, that it shares most cells with.
+    """own, u > v: each text (own) with those of the leaders of its cells, of another component, that it shares most cells with.
 
     At most `leaders` a text; other leaders in each round k. What is left out here is met by `candidates`.
     """
@@ -239,17 +265,15 @@ def led(rows: DataFrame, k: int, leaders: int = LEADERS) -> DataFrame:
     met = stored(met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")), f"{base}/met")
     most = Window.partitionBy("u").orderBy(F.desc("c"), "v")
     kept = met.withColumn("at", F.row_number().over(most)).where(F.col("at") <= leaders)
-    out = stored(kept.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), work_dir(spark, "near-hot-pairs"))
+    out = stored(kept.select(F.col("u").alias("own"), F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), work_dir(spark, "near-hot-pairs"))
     release(spark, base)
     return out
 
 
-def candidates(found: DataFrame, docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+def candidates(found: DataFrame, sketches: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Distinct pairs u > v of ids that share a cell and may be similar enough; all that are, are among them."""
     spark = found.sparkSession
-    ids = found.select("id").distinct()
-    sketches = stored(_sketches(docs.join(ids, "id", "left_semi")), sketch_path := work_dir(spark, "near-sketches"))
-    found = found.join(sketches, "id")
+    found = found.join(stored(_short(sketches), sketch_path := work_dir(spark, "near-short")), "id")
     hot = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > cell_rows)
     hot = stored(hot.select("gram", F.ceil(F.col("m") / cell_rows).cast("int").alias("k")), hot_path := work_dir(spark, "near-hot"))
     columns = ("id", "n", "place", "root", *WORDS)
@@ -274,25 +298,54 @@ def candidates(found: DataFrame, docs: DataFrame, cell_rows: int = CELL_ROWS) ->
     return out
 
 
-def similar(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
-    """The pairs whose texts are similar enough, by their whole sets, which are kept at path."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    sets = stored(_grams(docs.join(ids, "id", "left_semi")), path)
-    both = pairs.join(sets.withColumnsRenamed({"id": "u", "grams": "a"}), "u").join(sets.withColumnsRenamed({"id": "v", "grams": "b"}), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where((OVER + UNDER) * shared >= OVER * (F.size("a") + F.size("b"))).select("u", "v")
+def close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs (u, v and others) that their long sketches leave open, and `bits`, in how many these differ."""
+    columns = pairs.columns
+    of = lambda end: sketches.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"of_{end}"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = np.array([bits_apart(x.as_py(), y.as_py()) for x, y in zip(b.column("of_u"), b.column("of_v"), strict=True)], np.int64)
+            near = may_differ(b.column("n_u").to_numpy().astype(np.int64), b.column("n_v").to_numpy().astype(np.int64), bits)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(bits)], names=[*columns, "bits"]).filter(pa.array(near))
+
+    return in_workers(pairs.join(of("u"), "u").join(of("v"), "v"), work, ", ".join(f"{c} long" for c in [*columns, "bits"]))
+
+
+def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose texts are similar enough, by their whole sets."""
+    of = lambda end: docs.select(F.col("id").alias(end), F.col("text").alias(f"of_{end}"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, other = None, None
+        for b in batches:
+            near = []
+            for v, x, y in zip(b.column("v"), b.column("of_u"), b.column("of_v"), strict=True):
+                if v.as_py() != held:  # a leader's pairs stand together after a sorted join
+                    held, other = v.as_py(), grams(y.as_py())
+                own = grams(x.as_py())
+                near.append((OVER + UNDER) * len(np.intersect1d(own, other, assume_unique=True)) >= OVER * (len(own) + len(other)))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    return in_workers(pairs.join(of("u"), "u").join(of("v"), "v"), work, "u long, v long")
 
 
 def groups(docs: DataFrame, cell_rows: int = CELL_ROWS, rounds: int = STAR_ROUNDS, hot_roots: int = HOT_ROOTS) -> DataFrame:
     """node, root: the smallest id that each id with a near copy is linked to. Of docs (id, text), ids unique."""
     spark = docs.sparkSession
-    found, links, base = cells(docs), None, work_dir(spark, "near-rounds")
+    (found, sketches), links, base = cells(docs), None, work_dir(spark, "near-rounds")
     left, before, k = found.withColumn("root", F.col("id")), None, 0
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = similar(pairs, docs, f"{base}/sets-{k}")
+        near = close(pairs, sketches)
+        if "own" in pairs.columns:
+            closest = Window.partitionBy("own").orderBy("bits", "u", "v")
+            near = near.withColumn("at", F.row_number().over(closest)).where(F.col("at") <= CLOSEST)
+        near = stored(near.select("u", "v").distinct(), f"{base}/close-{k}")
+        release(spark)
+        near = similar(near, docs)
         out = stored(near if links is None else links.unionByName(near), f"{base}/links-{k}")
-        release(spark, f"{base}/sets-{k}", f"{base}/links-{k - 1}")
+        release(spark, f"{base}/close-{k}", f"{base}/links-{k - 1}")
         return out
 
     def still_open() -> DataFrame:
@@ -316,7 +369,7 @@ def groups(docs: DataFrame, cell_rows: int = CELL_ROWS, rounds: int = STAR_ROUND
             break
         links = linked(led(hot, k))
         left, k, before = still_open(), k + 1, now
-    return components(linked(candidates(left, docs, cell_rows)))
+    return components(linked(candidates(left, sketches, cell_rows)))
 
 
 def one_of_each(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
