@@ -1,5 +1,6 @@
 """The graph operators on small graphs with known answers."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -213,6 +214,40 @@ def test_negatives_are_filled_where_nodes_are_left(spark):
         assert len(got) == want and {x.cand for x in got} <= allowed and len({x.cand for x in got}) == want
 
 
+def test_past_partners_come_in_hash_order_from_blocks(spark):
+    """A source with many partners: the first of each query in md5 order, whatever blocks they are met in; none that are barred."""
+    known = [(1, k) for k in range(2, 60)] + [(2, 5), (2, 6)]
+    frame = spark.createDataFrame(known, "src long, cand long")
+    asked = spark.createDataFrame([(1, 7), (1, 9), (2, 5), (3, 4)], "src long, dst long")
+    order = lambda s, d, c: hashlib.md5(f"x|{s}|{d}|{c}".encode()).hexdigest()
+    for block in (1, 7, 1024):
+        got = {(x.src, x.dst): x.had for x in candidates._past(asked, frame, 3, "x", block).collect()}
+        assert got == {(s, d): sorted((c for a, c in known if a == s and c != d), key=lambda c: order(s, d, c))[:3] for s, d in ((1, 7), (1, 9), (2, 5), (3, 4))}
+
+
+def test_draws_looked_up_at_first_change_nothing(spark, monkeypatch):
+    pairs_ = [(k, 30 + j) for k in range(8) for j in range(12)]
+    frame = spark.createDataFrame(pairs_, "src long, dst long")
+    nodes = spark.range(42).withColumnRenamed("id", "node")
+    found = []
+    for ahead in (0, 100):
+        monkeypatch.setattr(candidates, "AHEAD", ahead)
+        found.append(sorted(tuple(x) for x in candidates.negatives(frame, frame, frame, nodes, 10).collect()))
+    assert found[0] == found[1] and len(found[0]) == 10 * len(pairs_)
+
+
+def test_common_neighbours_in_parts(spark):
+    r = random.Random(9)
+    adjacency = {(a, b) for a, b in ((r.randint(0, 25), r.randint(0, 25)) for _ in range(150)) if a != b}
+    asked = [(a, b) for a in range(0, 28) for b in range(0, 28, 3)]
+    near = {k: {b for a, b in adjacency if a == k} for k in range(28)}
+    frame, pair = spark.createDataFrame(sorted(adjacency), "u long, v long"), spark.createDataFrame(asked, "a long, b long")
+    for most in (400, 10**6):
+        got = {(x.a, x.b): (x.cn_x, x.aa_x) for x in pairs.common(pair, frame, "_x", most).collect()}
+        for a, b in asked:
+            assert got[a, b] == (len(near[a] & near[b]), pytest.approx(sum(1 / math.log(len(near[v])) for v in near[a] & near[b] if len(near[v]) > 1)))
+
+
 def test_ranks(spark):
     rows = [(1, 1, 10.0, 1), (1, 1, 5.0, 0), (1, 1, 3.0, 0), (2, 2, 1.0, 1), (2, 2, 5.0, 0), (2, 2, 3.0, 0), (2, 2, 10.0, 0), (3, 3, 5.0, 1), (3, 3, 5.0, 0), (3, 3, 5.0, 0)]
     frame = spark.createDataFrame(rows, "src long, dst long, s double, is_true int")
