@@ -102,6 +102,14 @@ def test_triangles_and_cores(spark):
     assert {x.node: x.core for x in graph.core_numbers(stream(spark, [(a, b, 1, 1) for a, b in links])).collect()} == core
 
 
+def test_wedges_are_met_once(spark):
+    edges = stream(spark, [(0, k, 1, 1.0) for k in range(1, 6)] + [(a, b, 1, 1.0) for a, b in itertools.combinations(range(10, 15), 2)])
+    up = graph.oriented(graph.undirected(edges))
+    ahead = [x["count"] for x in up.groupBy("u").count().collect()]
+    assert graph.wedges(up).count() == sum(math.comb(n, 2) for n in ahead) == 10
+    assert {x.node: x.triangles for x in graph.triangles(edges).collect()} == dict.fromkeys(range(6), 0) | dict.fromkeys(range(10, 15), 6)
+
+
 def test_pagerank(spark):
     r = random.Random(3)
     rows = [(r.randint(0, 12), r.randint(0, 14)) for _ in range(40)] + [(0, 1), (0, 1)]
@@ -162,6 +170,19 @@ def test_recent_neighbors_never_look_ahead(spark):
         assert [tuple(e) for e in x.nbrs] == want
 
 
+def test_carried_neighbours_are_those_joined_by_rank(spark, monkeypatch):
+    r = random.Random(3)
+    events = spark.createDataFrame([(r.randint(0, 4), r.randint(0, 9), r.randint(0, 30), k) for k in range(120)], "node long, nbr long, ts long, seq long")
+    asked = spark.createDataFrame([(k, r.randint(0, 6), r.randint(0, 32)) for k in range(90)], "query_id long, node long, ts long")
+    found = []
+    for most in (0, 8):
+        monkeypatch.setattr(temporal, "CARRIED", most)
+        got = temporal.recent_neighbors(asked, events, 3)
+        assert got.columns == ["query_id", "node", "ts", "nbrs"]
+        found.append({x.query_id: (x.node, x.ts, [tuple(y) for y in x.nbrs]) for x in got.collect()})
+    assert found[0] == found[1] and len(found[0]) == 90
+
+
 def test_relational_vectors(spark):
     r = random.Random(6)
     rows = [(r.randint(0, 5), r.randint(6, 11)) for _ in range(40)]
