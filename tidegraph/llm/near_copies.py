@@ -251,21 +251,36 @@ def hot_rows(left: DataFrame, hot_roots: int = HOT_ROOTS) -> tuple[DataFrame, in
     return left.join(hot.select("gram"), "gram"), hot.agg(F.coalesce(F.sum("roots"), F.lit(0))).first()[0]
 
 
+def most_frequent(values: np.ndarray, most: int) -> np.ndarray:
+    """The `most` values that occur most often; of values that occur as often, the smallest."""
+    found, n = np.unique(values, return_counts=True)
+    return found[np.argsort(-n, kind="stable")[:most]]
+
+
 def led(rows: DataFrame, k: int, leaders: int = LEADERS) -> DataFrame:
     """own, u > v: each text (own) with those of the leaders of its cells, of another component, that it shares most cells with.
 
-    At most `leaders` a text; other leaders in each round k. What is left out here is met by `candidates`.
+    At most `leaders` a text; other leaders in each round k. What is left out here is met by `candidates`. The join makes
+    one row for each row of a cell, and one list for each text.
     """
     spark = rows.sparkSession
     base = work_dir(spark, "near-hot")
     rows = stored(rows.select("gram", "id", "root"), f"{base}/rows")
     by_hash = Window.partitionBy("gram").orderBy(F.xxhash64("id", F.lit(k)), "id")
-    lead = rows.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= leaders).select("gram", F.col("id").alias("v"), F.col("root").alias("other"))
-    met = rows.withColumnRenamed("id", "u").join(stored(lead, f"{base}/leaders"), "gram").where("root <> other")
-    met = stored(met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c")), f"{base}/met")
-    most = Window.partitionBy("u").orderBy(F.desc("c"), "v")
-    kept = met.withColumn("at", F.row_number().over(most)).where(F.col("at") <= leaders)
-    out = stored(kept.select(F.col("u").alias("own"), F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), work_dir(spark, "near-hot-pairs"))
+    lead = rows.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= leaders)
+    lead = stored(lead.groupBy("gram").agg(F.collect_list(F.struct(F.col("id").alias("v"), F.col("root").alias("other"))).alias("leads")), f"{base}/leaders")
+    # a row meets all leaders of its cell at once, and a text's leaders are counted in one list
+    others = F.transform(F.filter("leads", lambda x: x["other"] != F.col("root")), lambda x: x["v"])
+    met = rows.join(lead, "gram").select("id", others.alias("met")).where(F.size("met") > 0)
+    listed = met.groupBy("id").agg(F.flatten(F.collect_list("met")).alias("met"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [most_frequent(np.array(x.as_py(), np.int64), leaders) for x in b.column("met")]
+            own, other = np.repeat(b.column("id").to_numpy(), np.array([len(x) for x in kept], np.int64)), np.concatenate([*kept, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.maximum(own, other)), pa.array(np.minimum(own, other))], names=["own", "u", "v"])
+
+    out = stored(in_workers(listed, work, "own long, u long, v long"), work_dir(spark, "near-hot-pairs"))
     release(spark, base)
     return out
 
