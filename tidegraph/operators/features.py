@@ -84,9 +84,10 @@ def daily_node_features(daily: DataFrame) -> DataFrame:
             zero(F.max(side("btc"))).alias(f"max_btc_{name}"),
             zero(F.min(side("btc"))).alias(f"min_btc_{name}"),
             F.round(sample_std(side("btc")), 6).alias(f"std_btc_{name}"),
-            F.countDistinct(side("other")).alias(f"unique_{name}"),
+            F.size(F.collect_set(side("other"))).cast("long").alias(f"unique_{name}"),  # distinct counts would make each row three
         ]
-    f = e.groupBy("date", "node_idx").agg(*out)
+    # rows go out as they are: they are smaller than what sums, medians and sets of a few of them take
+    f = e.repartition("date", "node_idx").groupBy("date", "node_idx").agg(*out)
     return f.withColumns({
         "total_degree": F.col("in_degree") + F.col("out_degree"),
         "balance_btc": F.round(F.col("total_btc_in") - F.col("total_btc_out"), 8),

@@ -163,7 +163,7 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dated(features.daily_node_features(_daily(spark, sf_dir)))
+    return _dated(features.daily_node_features(report.daily(payments(spark, sf_dir))))  # read once, so not stored
 
 
 def daily_graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +244,7 @@ def snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = daily.mean_features(_daily(spark, sf_dir), features.DAILY_FEATURES)
+    means = daily.mean_features(report.daily(payments(spark, sf_dir)), features.DAILY_FEATURES)
     return means.select("node_idx", "days", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in features.DAILY_FEATURES])  # no ties
 
 
