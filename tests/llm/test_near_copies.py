@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -110,3 +112,37 @@ def test_long_sketches_rule_out_what_short_ones_leave(spark):
     alike = {(a, b) for a in sets for b in range(a) if similarity(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8}
     assert alike <= left and (4, 3) not in left and (5, 0) not in left
     assert {(x.u, x.v) for x in near_copies.similar(pairs, docs).collect()} == alike
+
+
+def test_a_pair_is_met_where_its_first_shared_shingle_is():
+    """Not at shingles too far behind to be the first, nor at those behind one that both have."""
+    size = 60
+
+    def met(cells):
+        rows = [(g, 0, 0, 2, k, 1000, place, k, before, 0, 0, 0, 0) for g, place, before in cells for k in range(size)]
+        names = ["gram", "x", "y", "side", "id", "n", "place", "root", "before", *near_copies.WORDS]
+        batch = pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True)], names=names)
+        return [x for b in near_copies._met(iter([batch])) for x in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+
+    every = sorted((a, b) for a in range(size) for b in range(a))
+    assert sorted(met([(7, 0, 7)])) == sorted(met([(7, 111, 7)])) == every
+    assert met([(7, 112, 7)]) == met([(7, 150, 7)]) == []
+    assert met([(7, 3, 5)]) == [] and sorted(met([(5, 2, 5), (7, 3, 5)])) == every
+
+
+def test_pairs_of_all_lengths_are_met_by_their_first_shared_shingle(spark):
+    """Parts of texts, down to four fifths, and edited ones: no similar pair is lost, with cells cut into blocks or not."""
+    r = random.Random(16)
+    given = []
+    for _ in range(30):
+        words = [f"w{r.randint(0, 400)}" for _ in range(r.randint(5, 120))]
+        for _ in range(4):
+            part = words[: max(5, len(words) - r.randint(0, len(words) // 4))]
+            given.append((len(given), edited(r, part, r.randint(0, max(1, len(part) // 45)))))
+    sets = {k: shingles(t) for k, t in given}
+    alike = {(a, b) for a in sets for b in range(a) if similarity(sets[a], sets[b]) >= 0.8}
+    assert len(alike) > 20 and any(len(sets[a]) != len(sets[b]) for a, b in alike)
+    docs = spark.createDataFrame(given, "id long, text string").repartition(5)
+    found, sketches = near_copies.cells(docs)
+    for cell_rows in (1024, 2):
+        assert alike <= {(x.u, x.v) for x in near_copies.candidates(found.withColumn("root", found["id"]), sketches, cell_rows).collect()}

@@ -2,9 +2,9 @@
 
 A text is the set of its five-word shingles (64-bit hashes). Shingles are put in one order for all texts, rare ones
 first; two texts that are similar enough then share a shingle among the first fifth of each (prefix filter), so every
-such pair meets in the cell of a shingle. Pairs are left out that sizes, places and the number of first shingles they
-share rule out: whatever else they share stands behind the last of these in both. So are pairs whose sketches differ
-too much: a sketch has a bit for the parity of the shingles in each of SKETCH parts of the hashes, so two sets differ in
+such pair meets in the cell of a shingle. The first of these that both share is the one that counts: all else they share
+stands behind it in both, so a pair meets only where this can be enough, and not where both have the same shingle before
+it. Pairs are also left out whose sketches differ too much: a sketch has a bit for the parity of the shingles in each of SKETCH parts of the hashes, so two sets differ in
 at least as many shingles as their sketches in bits. Each text has one sketch of at least two bits a shingle, which is
 folded where shorter ones do. The others are compared by their whole sets, made from the texts where they meet: texts
 are shorter than sets and are sent once a pair. Nothing is estimated: the order comes from a sample, but any order gives the same pairs.
@@ -13,8 +13,8 @@ Scale: a text leaves a row for a fifth of its shingles, and only cells with two
 is held against one leader of one of its cells. While cells hold over HOT_ROOTS components, their texts are then held
 against LEADERS of them a round, for as long as that links them; a large group of copies is then one component, at a
 cost in proportion to its rows. Only pairs in a cell whose texts are not yet linked are met after that, and all of them
-are: unlike texts that share a rare shingle still cost the square of their number in comparisons of sketches, though
-not in rows. A cell that is hot all the same is
+are: unlike texts that share a rare shingle still cost the square of their number in comparisons of sketches, and in
+rows where it stands among the first ninth of both and they are too long for the short sketches. A cell that is hot all the same is
 cut into blocks, and pairs of blocks are met in separate tasks. What is broadcast is the COMMON most frequent shingles
 of a sample, which only order shingles.
 
@@ -139,10 +139,9 @@ def _prefixes(docs: DataFrame, sent) -> DataFrame:
     return in_workers(docs, work, "gram long, id long, n int, place int, sketch binary")
 
 
-def may_be_similar(n_a, n_b, at_a, at_b):
-    """Whether texts of n_a and n_b shingles that share those at at_a and at_b can be similar enough."""
-    most = np.minimum(at_a, at_b) + np.minimum(n_a - at_a, n_b - at_b)
-    return (OVER + UNDER) * np.minimum(most, np.minimum(n_a, n_b)) >= OVER * (n_a + n_b)
+def may_start(n_a, n_b, at_a, at_b):
+    """Whether texts of n_a and n_b shingles can be similar enough where those at at_a and at_b are the first they share."""
+    return (OVER + UNDER) * np.minimum(n_a - at_a, n_b - at_b) >= OVER * (n_a + n_b)
 
 
 def may_differ(n_a, n_b, bits):
@@ -160,15 +159,16 @@ def _still_may(n_u: str, n_v: str) -> Column:
     return (OVER + UNDER) * most >= OVER * (F.col(n_u) + F.col(n_v))
 
 
-_PAIRS = "u long, v long, c int, n_u int, n_v int, at_u int, at_v int"
-
-
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs u > v of the rows of each cell; batches are ordered by cell (gram, x, y)."""
+    """Pairs u > v of the rows of each cell; batches are ordered by cell (gram, x, y).
+
+    `before` is the shingle in front of `gram` among those of the text that are left, or gram itself: where two texts
+    have the same one they meet in its cell.
+    """
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key = np.stack([t.column(c).to_numpy() for c in ("gram", "x", "y")])
-        ids, n, place, side, root = (t.column(c).to_numpy() for c in ("id", "n", "place", "side", "root"))
+        ids, n, place, side, root, before = (t.column(c).to_numpy() for c in ("id", "n", "place", "side", "root", "before"))
         n, place = n.astype(np.int64), place.astype(np.int64)
         bits = [t.column(w).to_numpy() for w in WORDS]
         first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
@@ -178,26 +178,21 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in range(1, int(sizes.max(initial=1))):
             rows = rows[rows + d < end[rows]]
             a, b = rows, rows + d
-            near = may_be_similar(n[a], n[b], place[a], place[b]) & (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 2))
+            near = may_start(n[a], n[b], place[a], place[b]) & (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 2))
+            near &= (before[a] != before[b]) | (before[a] == key[0, a])
             a, b = a[near], b[near]
             differ = sum(np.bitwise_count((w[a] ^ w[b]).view(np.uint64)).astype(np.int64) for w in bits)
             near = may_differ(n[a], n[b], differ)
             a, b = a[near], b[near]
-            u, v = np.where(ids[a] > ids[b], a, b), np.where(ids[a] > ids[b], b, a)
-            found.append(np.stack([ids[u], ids[v], n[u], n[v], place[u], place[v]]))
+            found.append(np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])]))
             if sum(x.shape[1] for x in found) > 500_000:
                 yield batch(found)
                 found = []
         yield batch(found)
 
     def batch(found: list[np.ndarray]) -> pa.RecordBatch:
-        every = np.concatenate([*found, np.zeros((6, 0), np.int64)], axis=1)
-        every = every[:, np.lexsort((every[4], every[1], every[0]))]
-        first = np.flatnonzero(np.concatenate([[True], (every[:2, 1:] != every[:2, :-1]).any(axis=0)])) if every.shape[1] else np.zeros(0, np.int64)
-        last = np.append(first[1:], every.shape[1]) - 1 if len(first) else first
-        u, v, n_u, n_v, at_u, at_v = every[:, last]
-        columns = [u, v, *(x.astype(np.int32) for x in (last - first + 1, n_u, n_v, at_u, at_v))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "c", "n_u", "n_v", "at_u", "at_v"])
+        u, v = np.unique(np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -289,9 +284,11 @@ def candidates(found: DataFrame, sketches: DataFrame, cell_rows: int = CELL_ROWS
     """Distinct pairs u > v of ids that share a cell and may be similar enough; all that are, are among them."""
     spark = found.sparkSession
     found = found.join(stored(_short(sketches), sketch_path := work_dir(spark, "near-short")), "id")
+    found = found.withColumn("before", F.lag("gram", 1).over(Window.partitionBy("id").orderBy("place")))
+    found = found.withColumn("before", F.coalesce("before", "gram"))
     hot = found.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > cell_rows)
     hot = stored(hot.select("gram", F.ceil(F.col("m") / cell_rows).cast("int").alias("k")), hot_path := work_dir(spark, "near-hot"))
-    columns = ("id", "n", "place", "root", *WORDS)
+    columns = ("id", "n", "place", "root", "before", *WORDS)
     none = F.lit(0)
     if hot.isEmpty():
         dealt = found.select("gram", none.alias("x"), none.alias("y"), F.lit(2).alias("side"), *columns)
@@ -304,11 +301,8 @@ def candidates(found: DataFrame, sketches: DataFrame, cell_rows: int = CELL_ROWS
         dealt = both.where("k IS NULL").select("gram", none.alias("x"), none.alias("y"), F.lit(2).alias("side"), *columns)
         dealt = dealt.unionByName(other.select("gram", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), own.alias("side"), *columns))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = in_workers(dealt.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y"), _met, _PAIRS)
-    at = F.max(F.struct("at_u", "at_v"))
-    pairs = met.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max("n_u").alias("n_u"), F.max("n_v").alias("n_v"), at.alias("at"))
-    pairs = pairs.select("u", "v", "c", "n_u", "n_v", "at.at_u", "at.at_v").where(_still_may("n_u", "n_v"))
-    out = stored(pairs.select("u", "v"), work_dir(spark, "near-pairs"))
+    met = in_workers(dealt.repartition(parts, "gram", "x", "y").sortWithinPartitions("gram", "x", "y"), _met, "u long, v long")
+    out = stored(met.distinct(), work_dir(spark, "near-pairs"))
     release(spark, hot_path, sketch_path)
     return out
 
