@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.plans.storage import stored
 
 #: No key: behind all others.
 NONE = np.iinfo(np.int64).max
+#: About so many neighbours of a node stand in one row.
+LISTED = 4096
 
 def undirected(edges: DataFrame) -> DataFrame:
     """u, v: each distinct pair in both directions, without self loops."""
@@ -84,20 +86,34 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "component")
 
 
-def core_numbers(edges: DataFrame) -> DataFrame:
-    """node, core: fixpoint of replacing each node's number by the h-index of its neighbours' numbers."""
-    both = stored(undirected(edges), "both")
+def core_numbers(edges: DataFrame, listed: int = LISTED) -> DataFrame:
+    """node, core: fixpoint of replacing each node's number by the h-index of its neighbours' numbers.
+
+    A node keeps how many neighbours have which number, up to its own. Pairs are dealt once, as lists of at most about
+    `listed` neighbours; after that only nodes whose number has fallen tell those that it may fall short of.
+    """
+    spark, both = edges.sparkSession, stored(undirected(edges), "both")
     core = stored(both.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("core")), "core")
+    own = lambda c, d: core.select(F.col("node").alias(c), F.col("core").alias(d))
+    known = stored(both.join(own("v", "dv"), "v").join(own("u", "du"), "u"), "known")
+    near = known.groupBy(F.col("v").alias("node"), F.pmod(F.xxhash64("u"), F.ceil(F.col("dv") / listed)).alias("part"))
+    near = stored(near.agg(F.collect_list(F.struct("u", F.col("du").alias("most"))).alias("near")).drop("part"), "near")
+    held = stored(known.groupBy(F.col("u").alias("node"), F.least("dv", "du").alias("value")).agg(F.count(F.lit(1)).alias("n")), "held")
     while True:
-        seen = both.join(core.select(F.col("node").alias("v"), "core"), "v").groupBy("u", "core").agg(F.count(F.lit(1)).alias("n"))
-        from pyspark.sql import Window
-
-        above = F.sum("n").over(Window.partitionBy("u").orderBy(F.desc("core")))
-        h = seen.withColumn("m", F.least(F.col("core"), above)).groupBy(F.col("u").alias("node")).agg(F.max("m").alias("new"))
+        spark._jvm.System.gc()  # Spark's cleaner then removes the shuffles of the round before
+        above = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("value")))
+        h = held.withColumn("m", F.least("value", above)).groupBy("node").agg(F.max("m").alias("new"))
         new = stored(core.join(h, "node").select("node", F.col("core").alias("old"), F.least("core", "new").alias("core")), "core")
-        if new.where("old <> core").isEmpty():
-            return new.select("node", "core")
-        core = new.select("node", "core")
+        core, fallen = new.select("node", "core"), new.where("old <> core")
+        if fallen.isEmpty():
+            return core
+        # where a neighbour's number was never above the new one, nothing changes for it
+        told = near.join(fallen, "node").select("old", "core", F.explode(F.filter("near", lambda x: x["most"] > F.col("core"))).alias("x"))
+        entry = lambda c, k: F.struct(F.least(F.col(c), F.col("x.most")).alias("value"), F.lit(k).cast("long").alias("n"))
+        told = told.select(F.col("x.u").alias("node"), F.explode(F.array(entry("old", -1), entry("core", 1))).alias("e")).select("node", "e.*")
+        told = told.groupBy("node", "value").agg(F.sum("n").alias("n"))
+        held = held.unionByName(told).join(core, "node").groupBy("node", F.least("value", "core").alias("value")).agg(F.sum("n").alias("n"))
+        held = stored(held.where("n <> 0"), "held")
 
 
 def strong_components_of(src: list[int], dst: list[int]) -> dict[int, int]:
