@@ -25,3 +25,24 @@ def test_edges_of_a_level_share_no_end():
     for k in range(level.max() + 1):
         ends = list(itertools.chain.from_iterable({x, y} for x, y in zip(a[level == k].tolist(), b[level == k].tolist(), strict=True)))
         assert len(ends) == len(set(ends))
+
+
+@pytest.mark.parametrize("held, chunk", [(10, 64), (0, 7), (1000, 10**6)])
+def test_state_in_a_file_and_in_chunks_gives_the_fold(held, chunk):
+    r = np.random.default_rng(8)
+    a, b = r.integers(0, 60, 900) * 10**12, r.integers(0, 60, 900) * 10**12  # self loops too
+    top, norm = graph.tppr_fold(zip(a.tolist(), b.tolist(), strict=True), 0.9, 0.8, 6)
+    store = graph.TpprStore(6, held)
+    for lo in range(0, len(a), chunk):
+        store.fold(a[lo : lo + chunk], b[lo : lo + chunk], 0.9, 0.8)
+    rows = [x for batch in store.batches(16) for x in batch.to_pylist()]
+    assert {x["node"]: [(e["node"], e["weight"]) for e in x["weights"]] for x in rows} == {x: list(w.items()) for x, w in top.items()}
+    assert {x["node"]: x["norm"] for x in rows} == norm
+
+
+def test_similarity_in_blocks_is_the_same(spark):
+    edges = spark.createDataFrame([(k % 7, 7 + k % 5, k) for k in range(60)], "src_idx long, dst_idx long, edge_seq long")
+    state = graph.tppr(edges, k=5, held=2, chunk=9)
+    asked = spark.createDataFrame([(a, b) for a in range(8) for b in range(6, 14)], "src long, dst long")
+    one, many = (sorted(tuple(x) for x in graph.tppr_similarity(state, asked, most).collect()) for most in (1000, 10))
+    assert one == many and len(one) == 64 and any(x[2] > 0 for x in one)
