@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tidegraph.operators import graph
+from tidegraph.plans import queries
 
 
 @pytest.mark.parametrize("n, nodes, k", [(300, 12, 4), (1500, 40, 5), (2000, 200, 100), (400, 3, 2)])
@@ -46,3 +47,10 @@ def test_similarity_in_blocks_is_the_same(spark):
     asked = spark.createDataFrame([(a, b) for a in range(8) for b in range(6, 14)], "src long, dst long")
     one, many = (sorted(tuple(x) for x in graph.tppr_similarity(state, asked, most).collect()) for most in (1000, 10))
     assert one == many and len(one) == 64 and any(x[2] > 0 for x in one)
+
+
+def test_scores_know_all_edges_before_those_asked_about(spark, monkeypatch):
+    """The pair's only past edges are in the validation part."""
+    rows = [(1, 2, k) for k in range(70)] + [(5, 6, k) for k in range(70, 85)] + [(5, 6, k) for k in range(85, 100)]
+    monkeypatch.setattr(queries, "payment_stream", lambda *_: spark.createDataFrame(rows, "src_idx long, dst_idx long, edge_seq long"))
+    assert queries.tppr_scores(spark, "").first().similarity > 0
