@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tidegraph.operators import pairs
+from tidegraph.operators import graph, pairs
 
 
 def test_common_neighbours_between_blocks_and_in_rounds(spark, monkeypatch):
@@ -32,3 +32,11 @@ def test_common_neighbours_of_nothing(spark):
     found = pairs.common(spark.createDataFrame([(1, 2)], "a long, b long"), none).collect()
     assert [tuple(x) for x in found] == [(1, 2, 0, 0.0)]
     assert pairs.common(spark.createDataFrame([], "a long, b long"), none).collect() == []
+
+
+def test_triangles_send_no_wedges(spark, monkeypatch):
+    """A graph with many wedges and few triangles: both are right, and no wedge becomes a row."""
+    monkeypatch.setattr(graph, "wedges", lambda *_: 1 / 0)
+    rows = [(0, k) for k in range(1, 200)] + [(1, 2), (2, 1), (2, 3), (3, 3), (300, 301)]
+    got = {x.node: tuple(x)[1:] for x in graph.triangles(spark.createDataFrame(rows, "src_idx long, dst_idx long")).collect()}
+    assert got[0] == (199, 2, 4 / (199 * 198)) and got[2] == (3, 2, 4 / 6) and got[1] == (2, 1, 1.0) and got[9] == got[300] == (1, 0, 0.0) and len(got) == 202
